@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from evidentia.llm.language import op8_language
 from evidentia.llm.packing import op3_packing
+from evidentia.llm.quality import op4_quality
+from evidentia.llm.simhash import op6_simhash
+from evidentia.llm.wavelet import op5_wavelet_matrix
+from evidentia.llm.wordtable import op9_word_table
 
-QUERIES = {f.__name__: f for f in (op3_packing,)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_quality, op5_wavelet_matrix, op6_simhash, op8_language, op9_word_table)}
 ORACLE_SQL: dict[str, str] = {}
