@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from evidentia.llm.embeddings import op1_embedding_dedup
+from evidentia.llm.html import op10_html
 from evidentia.llm.language import op8_language
 from evidentia.llm.packing import op3_packing
 from evidentia.llm.quality import op4_quality
@@ -9,5 +11,5 @@ from evidentia.llm.simhash import op6_simhash
 from evidentia.llm.wavelet import op5_wavelet_matrix
 from evidentia.llm.wordtable import op9_word_table
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_quality, op5_wavelet_matrix, op6_simhash, op8_language, op9_word_table)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_packing, op4_quality, op5_wavelet_matrix, op6_simhash, op8_language, op9_word_table, op10_html)}
 ORACLE_SQL: dict[str, str] = {}
