@@ -52,7 +52,11 @@ class Index(dict):
         return place
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[list[int]], list[str]]]:
+def by_space(text: str) -> list[str]:
+    return text.split(" ") if text else []
+
+
+def blocks(batches: Iterator[pa.RecordBatch], split=by_space) -> Iterator[tuple[int, list, list[list[int]], list[str]]]:
     """block id, documents' ids, their words as places, the distinct words."""
     part, k = TaskContext.get().partitionId(), 0
     ids, places, index, size = [], [], Index(), 0
@@ -68,7 +72,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[
         for doc, text in zip(*b.columns):
             text = text.as_py()
             ids.append(doc.as_py())
-            places.append(list(map(index.__getitem__, text.split(" "))) if text else [])
+            places.append(list(map(index.__getitem__, split(text))))
             size += len(text)
             if size >= BLOCK_BYTES:
                 yield close()
