@@ -40,7 +40,7 @@ def _left(pattern: str) -> Column:
 def base_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
     """doc_id, __lang, __t, __words (array), n_words, the base counts and the classes' counts."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    d = df.select(F.col(id_col).alias("doc_id"), lang.alias("__lang"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
+    d = df.select(F.col(id_col).alias("doc_id"), lang.alias("__lang"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
     d = d.withColumn("__words", F.regexp_extract_all("__t", F.lit(f"[^{SPACE}]+"), F.lit(0)))
     d = d.withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
     n, w = F.size("__words"), REPEAT_WINDOW
@@ -50,7 +50,7 @@ def base_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str | None)
         OR (k < size(__s) - 1 AND __s[least(k + 1, size(__s) - 1)].h = e.h)), e -> e.i)),
         named_struct('last', -{w}, 'n', 0), (a, x) -> named_struct('last', x, 'n', a.n + least({w}, x - a.last)), a -> a.n)"""
     d = d.select(
-        "doc_id", "__lang", "__t", "__words",
+        "doc_id", "__lang", "__t", "__words", "__row",
         n.cast("long").alias("n_words"),
         _left(f"[{SPACE}]+").cast("long").alias("word_chars"),
         F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -84,7 +84,7 @@ def features(df: DataFrame, words: list[str], id_col: str, text_col: str, lang_c
     counted = F.transform(F.array_distinct("__hits"), lambda x: F.struct(x.alias("w"), F.size(F.filter("__hits", lambda y: y == x)).alias("c")))
     space = F.col("n_chars") - F.col("word_chars")
     rest = F.col("n_chars") - sum((F.col(c) for c in ("upper", "digit", "punctuation", "n_symbols", "wide")), space)
-    return d.select("doc_id", "__lang", "n_words", *COUNTS, "n_chars", F.array("upper", "digit", "punctuation", "n_symbols", space, "wide", rest).alias("__classes"), counted.alias("__common"))
+    return d.select("doc_id", "__lang", "__row", "n_words", *COUNTS, "n_chars", F.array("upper", "digit", "punctuation", "n_symbols", space, "wide", rest).alias("__classes"), counted.alias("__common"))
 
 
 def _term(p: str, q: str) -> str:
@@ -140,11 +140,18 @@ def judge(feats: DataFrame, refs: list[dict]) -> DataFrame:
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, char_distance, word_distance."""
     words = common_words(df, text_col, lang_col)
-    feats = shared.save(features(df, words, id_col, text_col, lang_col), "features")
+    feats = shared.save(features(df, words, id_col, text_col, lang_col).drop("__row"), "features")
     out = judge(feats, references(feats, words))
     return out.select("doc_id", "n_words", *COUNTS, "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that pass, with their own columns. Features are made twice, for the references and beside each row, so that no text is shuffled."""
+    words = common_words(df, text_col, lang_col)
+    feats = features(df, words, id_col, text_col, lang_col)
+    return judge(feats, references(feats.drop("__row"), words)).filter("kept").select("__row.*")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, judged."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
