@@ -134,7 +134,8 @@ def judge(feats: DataFrame, refs: list[dict]) -> DataFrame:
     d = d.withColumn("__near", F.expr(f"array_min(transform(__seen, s -> named_struct('sum', s.c + {words}, 'c', s.c, 'w', {words})))"))
     d = d.withColumn("char_distance", F.col("__near.c")).withColumn("word_distance", F.col("__near.w"))
     far = (F.col("n_chars") >= GUARD_CHARS) & (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.col("n_words") >= GUARD_WORDS) & (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return d.withColumn("kept", ~F.col("base_failed") & ~far)
+    # through a generator, so that a filter on it isn't pushed down and the expressions below aren't repeated
+    return d.withColumn("kept", F.explode_outer(F.array(~F.col("base_failed") & ~far)))
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
