@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from evidentia.queries import documents, fixtures
+
 
 def queries():
-    return {}
+    return documents.QUERIES | fixtures.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return documents.ORACLE | fixtures.ORACLE
 
 
 def entry(spark, sf_dir):
-    return next(iter(queries().values()))(spark, sf_dir)
+    return documents.verify_rule(spark, sf_dir)
