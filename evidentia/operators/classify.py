@@ -47,13 +47,18 @@ FIRST_PART, EARLY = 0.40, 0.25
 def terminal_heading(text: Column | str) -> Column:
     """struct<section, placement, heading, position> of the first hit in the order of headings, then placements; null if none."""
     t = F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\s+", " "))
-    hits = []
-    for section, heading in HEADINGS:
-        for placement, pattern in PLACEMENTS:
-            p = pattern % heading
-            hits.append(F.when(t.rlike(p), F.struct(F.lit(section).alias("section"), F.lit(placement).alias("placement"), F.regexp_extract(t, p, 2).alias("heading"), F.length(F.regexp_extract(t, p, 1)).cast("long").alias("position"))))
-    any_ = F.lower(t).rlike("|".join(dict.fromkeys(h for _, h in HEADINGS)))  # most passages hold no heading word at all
-    return F.when(any_, F.coalesce(*hits))
+    words = "|".join(dict.fromkeys(h for _, h in HEADINGS))
+
+    def hit(x: Column) -> Column:
+        tries = []
+        for section, heading in HEADINGS:
+            for placement, pattern in PLACEMENTS:
+                p = pattern % heading
+                found = F.struct(F.lit(section).alias("section"), F.lit(placement).alias("placement"), F.regexp_extract(x, p, 2).alias("heading"), F.length(F.regexp_extract(x, p, 1)).cast("long").alias("position"))
+                tries.append(F.when(x.rlike(p), found))
+        return F.when(F.lower(x).rlike(words), F.coalesce(*tries))  # most passages hold no heading word at all
+
+    return F.get(F.transform(F.array(t), hit), F.lit(0))  # within a lambda the many tries are not compiled into one method
 
 
 YEAR, DOI, ET_AL = r"(?i)\b(?:18|19|20)\d{2}[a-z]?\b", r"(?i)\bdoi\s*:|\b10\.\d{4,9}/", r"(?i)\bet\s+al\."

@@ -184,7 +184,7 @@ def bm25_topk(spark, d):
 # --- dense
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))), 6) AS norm, round(list_sum(list_transform(embedding, x -> x::DOUBLE / sqrt(list_sum(list_transform(embedding, y -> y::DOUBLE * y::DOUBLE))))), 6) AS unit_sum FROM embeddings")
+@query("SELECT vec_id, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])), 6) AS norm, round(list_sum([x::DOUBLE for x in embedding]) / sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in embedding])), 6) AS unit_sum FROM embeddings")
 def vector_normalize(spark, d):
     e = table(spark, d, "embeddings").withColumn("u", dense.normalize(F.col("embedding")))
     return e.select("vec_id", F.round(dense.norm(F.col("embedding")), 6).alias("norm"), F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 6).alias("unit_sum"))
