@@ -147,10 +147,18 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that pass, with their own columns. Features are made twice, for the references and beside each row, so that no text is shuffled."""
+    """The rows that pass, with their own columns.
+
+    Features are made twice, once for the references and once beside each row, so that no text is shuffled. A generator
+    parts them from the judgement: its loops would else hold the features' expressions and compute them at every step.
+    """
     words = common_words(df, text_col, lang_col)
+    small = shared.save(features(df, words, id_col, text_col, lang_col).drop("__row"), "features")
+    refs = references(small, words)
+    shared.drop(small)
     feats = features(df, words, id_col, text_col, lang_col)
-    return judge(feats, references(feats.drop("__row"), words)).filter("kept").select("__row.*")
+    feats = feats.select(F.explode_outer(F.array(F.struct(*feats.columns))).alias("f")).select("f.*")
+    return judge(feats, refs).filter("kept").select("__row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
