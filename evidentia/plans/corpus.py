@@ -69,7 +69,7 @@ class Corpus:
     def create(cls, spark: SparkSession, root: str) -> Corpus:
         c = cls(spark, root)
         if c._get("state.json") is None:
-            c._put("state.json", {"index_status": "empty", "indexed_passages": 0, "index": None, "batches": [], "last_indexed_at": None, "last_accessed_at": now()})
+            c._put("state.json", {"index_status": "empty", "indexed_passages": 0, "index": None, "batches": [], "audit": {}, "last_indexed_at": None, "last_accessed_at": now()})
         if c._get("config.json") is None:
             c._put("config.json", asdict(Config()))
         return c
@@ -100,7 +100,8 @@ class Corpus:
 
     def table(self, name: str) -> DataFrame:
         """All published batches of a table."""
-        batches = self.state["batches"]
+        state = self.state
+        batches = state["audit"].get(name, []) if name.startswith("verification_") else state["batches"]
         if not batches:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{name}/batch={b}" for b in batches])
@@ -109,6 +110,12 @@ class Corpus:
         wanted = self.spark.createDataFrame([], TABLES[name]).schema
         df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]).write.parquet(f"{self.root}/{name}/batch={batch}")
 
+    def append(self, name: str, batch: str, df: DataFrame) -> None:
+        """Add a batch to an audit table."""
+        self._write(name, batch, df)
+        audit = self.state["audit"]
+        self._set(audit=audit | {name: [*audit.get(name, []), batch]})
+
     def ingest(self, sources: DataFrame, policy: str = "ask", make_decoder=readers.TextDecoder) -> DataFrame:
         """Extract, segment, chunk and classify new sources. Gives each source's status; failures don't stop the others.
 
@@ -135,8 +142,7 @@ class Corpus:
         counted = passages.join(documents.select("document_id", "page_count"), "document_id")
         self._write("passages", batch, classify.classify(passages, classify.heading_cutoffs(counted)))
         self._write("ingestion_errors", batch, bad.withColumn("created_at", at))
-        for name in ("sentence_boxes", "verification_runs", "verification_candidates", "verification_evidence"):
-            self._write(name, batch, self.spark.createDataFrame([], TABLES[name]))
+        self._write("sentence_boxes", batch, self.spark.createDataFrame([], TABLES["sentence_boxes"]))
         self._set(batches=[*self.state["batches"], batch])
         if added.take(1):
             self.mark_rebuild_required()

@@ -58,7 +58,7 @@ def verify_claims(corpus: Corpus, claims: DataFrame, candidate_k: int = 100, rer
     base = claims.select(F.concat(F.lit(f"{run}-"), F.col("claim_id").cast("string")).alias("run_id"), "claim_id", "claim", F.lit(cfg.embedding_model).alias("embedding_model"), F.lit(cfg.reranker_model).alias("reranker_model"), F.lit(cfg.verifier_model).alias("verifier_model"), F.lit(conf).alias("configuration"), F.lit(warning).cast("string").alias("warning"))
 
     def event(status: str, error: str | None = None) -> None:
-        corpus._write("verification_runs", f"{run}-{status}", base.withColumns({"status": F.lit(status), "error_message": F.lit(error), "at": at}))
+        corpus.append("verification_runs", f"{run}-{status}", base.withColumns({"status": F.lit(status), "error_message": F.lit(error), "at": at}))
 
     event("running")
     try:
@@ -71,8 +71,8 @@ def verify_claims(corpus: Corpus, claims: DataFrame, candidate_k: int = 100, rer
         judged = corpus.spark.read.parquet(path)
         run_id = F.concat(F.lit(f"{run}-"), F.col("claim_id").cast("string")).alias("run_id")
         told = judged.select("claim_id", "passage_id", "rerank_rank", "rerank_score", "rerank_logit", F.col("verdict.label").alias("verifier_label"), F.col("verdict.reason").alias("verifier_reason"), F.col("verdict.raw_output").alias("verifier_raw_output"), F.col("verdict.parse_success").alias("verifier_parse_success"))
-        corpus._write("verification_candidates", run, fused.join(told, ["claim_id", "passage_id"], "left").withColumn("run_id", run_id))
-        corpus._write("verification_evidence", run, judged.select(run_id, "passage_id", F.posexplode("evidence").alias("position", "sentence_id")).withColumn("position", F.col("position").cast("long") + 1))
+        corpus.append("verification_candidates", run, fused.join(told, ["claim_id", "passage_id"], "left").withColumn("run_id", run_id))
+        corpus.append("verification_evidence", run, judged.select(run_id, "passage_id", F.posexplode("evidence").alias("position", "sentence_id")).withColumn("position", F.col("position").cast("long") + 1))
     except Exception as e:
         event("failed", str(e)[:2000])
         raise
