@@ -27,7 +27,7 @@ from evidentia.llm import shared, tokens
 
 BLOCK = 512
 #: A shard is closed at so many tokens.
-SHARD_TOKENS = 8_000_000
+SHARD_TOKENS = 3_000_000
 HEAD = "<4sQIB"
 
 
