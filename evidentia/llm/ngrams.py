@@ -32,6 +32,8 @@ from evidentia.llm import shared
 from evidentia.llm.wordtable import BUCKET_BYTES, LEAST_BUCKETS, blocks, pack, size_of, unpack
 
 ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
+#: Text bytes of a block. Its n-grams are held as arrays of 64-bit numbers, so it is smaller than elsewhere.
+GRAM_BLOCK_BYTES = 5_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -93,7 +95,7 @@ def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text
         return np.array([xxhash.xxh64_intdigest(w) for w in (x.encode("utf-8", "surrogatepass") for x in distinct)], dtype=np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, places, distinct in blocks(batches, words_of):
+        for block, _, places, distinct in blocks(batches, words_of, GRAM_BLOCK_BYTES):
             g = Grams([np.array(p, np.int64) for p in places], hashed(distinct), order)
             for n in range(order):
                 by, used, first = _parts(g.keys[n], buckets)
@@ -112,7 +114,7 @@ def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text
         return pa.table({"block": group.column("block"), "n": group.column("n"), "bucket": group.column("bucket"), "payload": pa.array([pack(b) for b in back], pa.binary()), "docs": empty})
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, places, distinct in blocks(batches, words_of):
+        for block, ids, places, distinct in blocks(batches, words_of, GRAM_BLOCK_BYTES):
             lengths, flat = pack(np.array([len(p) for p in places])), pack(np.fromiter((x for p in places for x in p), np.uint32))
             data = pa.record_batch([pa.array([lengths], pa.binary()), pa.array([flat], pa.binary()), pa.array([hashed(distinct).astype("<u8").tobytes()], pa.binary()), pa.array([ids], pa.list_(id_arrow))], ["lengths", "flat", "hashes", "ids"])
             sink = pa.BufferOutputStream()

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ def by_space(text: str) -> list[str]:
     return text.split(" ") if text else []
 
 
-def blocks(batches: Iterator[pa.RecordBatch], split=by_space) -> Iterator[tuple[int, list, list[list[int]], list[str]]]:
+def blocks(batches: Iterator[pa.RecordBatch], split=by_space, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list, list[array], list[str]]]:
     """block id, documents' ids, their words as places, the distinct words."""
     part, k = TaskContext.get().partitionId(), 0
     ids, places, index, size = [], [], Index(), 0
@@ -72,9 +73,9 @@ def blocks(batches: Iterator[pa.RecordBatch], split=by_space) -> Iterator[tuple[
         for doc, text in zip(*b.columns):
             text = text.as_py()
             ids.append(doc.as_py())
-            places.append(list(map(index.__getitem__, split(text))))
+            places.append(array("I", map(index.__getitem__, split(text))))
             size += len(text)
-            if size >= BLOCK_BYTES:
+            if size >= limit:
                 yield close()
                 ids, places, index, size, k = [], [], Index(), 0, k + 1
     if ids:
