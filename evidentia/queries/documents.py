@@ -242,11 +242,12 @@ def hybrid_rank_diagnostics(spark, d):
 @query(f"""WITH {S.CLAIM_TERMS}, {S.INDEX}, {S.BM25}, truth AS (SELECT claim_id, doc_id FROM claims JOIN documents ON contains(text, claim))
 SELECT count(*) AS pairs, count(*) FILTER (WHERE bm25_rank <= 10) AS found FROM truth LEFT JOIN lex ON lex.claim_id = truth.claim_id AND passage_id = doc_id""")
 def recall_at_k(spark, d):
-    """Verbatim claims are found by their first five words' shingle, then checked whole: no claim meets every document."""
-    c, docs = claims(spark, d), documents(spark, d)
-    grams = lambda t: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.length(t) - 12, F.lit(0))), lambda i: F.length(t) >= 12), lambda i: F.substring(t, (i + 1).cast("int"), F.lit(12)))
-    heads = c.select("claim_id", "claim", F.substring("claim", 1, 12).alias("g"))
-    some = docs.select("doc_id", F.explode(F.array_distinct(grams(F.col("text")))).alias("g")).join(heads, "g")
+    """Verbatim claims are found by a shingle of their second to fourth term, then checked whole: no claim meets every
+    document. The first and last term may be parts of a document's words. Claims have five terms or more."""
+    c, docs = claims(spark, d), documents(spark, d).withColumn("t", T.terms("text"))
+    heads = c.withColumn("t", T.terms("claim")).filter(F.size("t") >= 5).select("claim_id", "claim", F.xxhash64(F.slice("t", 2, 3)).alias("g"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("t", i, 3)))
+    some = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).join(heads, "g")
     truth = some.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "claim")).select("claim_id", "doc_id")
     hits = lexical.search(lexical.build(corpus_passages(spark, d)), c, 10).select("claim_id", F.col("passage_id").alias("doc_id"), "bm25_rank")
     return truth.join(hits, ["claim_id", "doc_id"], "left").agg(F.count(F.lit(1)).alias("pairs"), F.count("bm25_rank").alias("found"))
