@@ -2,9 +2,12 @@
 
 Every document gets the base counts of its whole text, a histogram over character classes and one over common words.
 References are the same histograms summed over all documents of each language (common words: the COMMON words of up to
-COMMON_CHARS characters that are most frequent in each language, together). A document is kept if it passes the base
-rule and its Jensen-Shannon distances to its language's reference (the nearest one, if it has no language with a
-reference) are small. A guard spares short documents: a histogram of few words or characters says little.
+COMMON_CHARS characters, one of them a letter, that are most frequent in each language, together). A document is kept
+if it passes the base rule and its Jensen-Shannon distances to its language's reference (the nearest one, if it has no
+language with a reference) are small. Common words cover a small part of any text, so the distance of words is measured
+against what each reference allows: a text without any common word has the distance `_bare`, and a text is far beyond
+WORD_SHARE of it. A guard spares short documents: a histogram of few words or characters, or one in which the reference
+lets expect less than GUARD_HITS common words, says little.
 
 Nothing is shuffled but partial counts of short words and a row of counts per language; documents stay where they are.
 
@@ -15,15 +18,18 @@ their own and are held against the nearest. Ties among common words go to the on
 
 from __future__ import annotations
 
+from math import log2, sqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm import shared
 
 COMMON, COMMON_CHARS, LANGUAGES = 16, 8, 64
-#: Least characters and words at which a histogram counts, and the largest distances of kept documents.
-GUARD_CHARS, GUARD_WORDS = 200, 50
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.55
+#: Least characters, words and expected common words at which a histogram counts, and the largest distances of kept
+#: documents: of classes as such, of words as a share of the distance of a text without common words.
+GUARD_CHARS, GUARD_WORDS, GUARD_HITS = 200, 50, 5
+MAX_CHAR_DISTANCE, WORD_SHARE = 0.30, 0.9
 #: Base rule.
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 
@@ -67,7 +73,7 @@ def base_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str | None)
 
 def common_words(df: DataFrame, text_col: str, lang_col: str) -> list[str]:
     """The most frequent short words of each of the most frequent languages, together and sorted: a bounded list."""
-    words = df.select(F.col(lang_col).cast("string").alias("l"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(rf"(?<![^{SPACE}])[^{SPACE}]{{1,{COMMON_CHARS}}}(?![^{SPACE}])"), F.lit(0))).alias("w")).filter(F.col("l").isNotNull())
+    words = df.select(F.col(lang_col).cast("string").alias("l"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(rf"(?<![^{SPACE}])[^{SPACE}]{{1,{COMMON_CHARS}}}(?![^{SPACE}])"), F.lit(0))).alias("w")).filter(F.col("l").isNotNull() & F.col("w").rlike(r"\p{L}"))
     counts = shared.save(words.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
     langs = [r["l"] for r in counts.groupBy("l").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()]
     found: set[str] = set()
@@ -105,6 +111,12 @@ def references(feats: DataFrame, words: list[str]) -> list[dict]:
     return [refs[r["__lang"]] for r in rows]
 
 
+def _bare(known: float) -> float:
+    """Distance of a text without common words from a reference whose common words have this share in all."""
+    rest = 1 - known
+    return sqrt(max(0.0, 0.5 * (known + log2(2 / (1 + rest)) + (rest * log2(2 * rest / (1 + rest)) if rest > 0 else 0.0))))
+
+
 def _literal(ref: dict) -> Column:
     shares = ref["words"] or {"": 0.0}
     return F.struct(
@@ -112,6 +124,7 @@ def _literal(ref: dict) -> Column:
         F.array(*[F.lit(float(x)) for x in ref["classes"]]).alias("classes"),
         F.map_from_arrays(F.array(*[F.lit(w) for w in shares]), F.array(*[F.lit(float(x)) for x in shares.values()])).alias("words"),
         F.lit(float(sum(shares.values()))).alias("known"),
+        F.lit(WORD_SHARE * _bare(min(1.0, sum(shares.values())))).alias("limit"),
     )
 
 
@@ -129,11 +142,12 @@ def judge(feats: DataFrame, refs: list[dict]) -> DataFrame:
     chars = f"""sqrt(greatest(0D, 0.5D * aggregate(zip_with(__classes, r.classes, (c, q) -> {_term('(c / n_chars)', 'q')}), 0D, (a, x) -> a + x)))"""
     q = "coalesce(try_element_at(r.words, x.w), 0D)"
     seen = f"aggregate(__common, named_struct('j', 0D, 'p', 0D, 'q', 0D), (a, x) -> named_struct('j', a.j + {_term('(x.c / n_words)', q)}, 'p', a.p + x.c / n_words, 'q', a.q + {q}))"
-    d = d.withColumn("__seen", F.expr(f"IF(n_words > 0, transform(__refs, r -> named_struct('s', {seen}, 'known', r.known, 'c', {chars})), array())"))
+    d = d.withColumn("__seen", F.expr(f"IF(n_words > 0, transform(__refs, r -> named_struct('s', {seen}, 'known', r.known, 'limit', r.limit, 'c', {chars})), array())"))
     words = f"sqrt(greatest(0D, 0.5D * (s.s.j + greatest(0D, s.known - s.s.q) + {_term('greatest(0D, 1 - s.s.p)', 'greatest(0D, 1 - s.known)')})))"
-    d = d.withColumn("__near", F.expr(f"array_min(transform(__seen, s -> named_struct('sum', s.c + {words}, 'c', s.c, 'w', {words})))"))
+    d = d.withColumn("__near", F.expr(f"array_min(transform(__seen, s -> named_struct('sum', s.c + {words}, 'c', s.c, 'w', {words}, 'limit', s.limit, 'known', s.known)))"))
     d = d.withColumn("char_distance", F.col("__near.c")).withColumn("word_distance", F.col("__near.w"))
-    far = (F.col("n_chars") >= GUARD_CHARS) & (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.col("n_words") >= GUARD_WORDS) & (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    told = (F.col("n_words") >= GUARD_WORDS) & (F.coalesce(F.col("n_words") * F.col("__near.known"), F.lit(0.0)) >= GUARD_HITS)
+    far = (F.col("n_chars") >= GUARD_CHARS) & (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | told & (F.coalesce(F.col("word_distance") > F.col("__near.limit"), F.lit(False)))
     # through a generator, so that a filter on it isn't pushed down and the expressions below aren't repeated
     return d.withColumn("kept", F.explode_outer(F.array(~F.col("base_failed") & ~far)))
 

@@ -232,6 +232,28 @@ def test_quality_counts(docs, none):
     assert quality.quality(docs.withColumn("lang", F.lit(None).cast("string"))).count() == len(TEXTS)
 
 
+def test_quality_common_words(spark):
+    """Long texts in another language than their label, and without common words, are far; texts of their language aren't."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").select("doc_id")
+    good = d.join(labels, "doc_id").filter(F.size(F.split("text", " ")) >= 150)
+    wrong = good.filter("lang <> 'en'").select((F.col("doc_id") + 100_000).alias("doc_id"), "text", F.lit("en").alias("lang"))
+    rng = random.Random(7)
+    strange = ["".join(rng.choice("bcdfghklmnprstvw") for _ in range(rng.randint(3, 7))) for _ in range(400)]
+    bare = ". ".join(" ".join(strange[i : i + 8]).capitalize() for i in range(0, 400, 8))
+    piped = " ".join(w + (" |" if i % 12 == 0 else "") for i, w in enumerate(strange)).capitalize()
+    odd = spark.createDataFrame([(200_000, bare, "en"), (200_001, piped, "en"), (200_002, bare, None)], d.schema)
+    words = quality.common_words(d, "text", "lang")
+    assert words and all(re.search(r"[^\W\d_]", w) for w in words)
+    got = {r["doc_id"]: r for r in quality.quality(d.union(wrong).union(odd)).collect()}
+    kept = [got[r["doc_id"]]["kept"] for r in good.collect()]
+    far = [not r["kept"] for k, r in got.items() if 100_000 <= k < 200_000 and not r["base_failed"]]
+    assert len(kept) > 50 and sum(kept) >= 0.98 * len(kept)
+    assert len(far) > 30 and sum(far) >= 0.95 * len(far)
+    assert all(not got[k]["base_failed"] and not got[k]["kept"] and got[k]["char_distance"] < quality.MAX_CHAR_DISTANCE for k in (200_000, 200_001, 200_002))
+    assert {r["doc_id"] for r in quality.keep_good(d.union(wrong).union(odd)).collect()} == {k for k, r in got.items() if r["kept"]}
+
+
 def test_language_held_out_accuracy(spark, docs, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     net = language.learn(d.filter(~language.held_out()))
