@@ -239,16 +239,29 @@ def hybrid_rank_diagnostics(spark, d):
     return fused(spark, d).select("claim_id", "passage_id", "dense_rank", "bm25_rank", "fusion_rank", shown("dense_rank").alias("dense_text"), shown("bm25_rank").alias("bm25_text"))
 
 
+def verbatim(c: DataFrame, docs: DataFrame) -> DataFrame:
+    """claim_id, doc_id of each claim that a document's text contains, whatever their lengths.
+
+    Claims of five terms or more are found by a shingle of their second to fourth term, then checked whole: the first
+    and last term may be parts of a document's words, those between aren't. Of shorter claims no such shingle is sure to
+    be there (and some have no term at all), so these are held against every text, the claims broadcast.
+    """
+    t = docs.withColumn("t", T.terms("text"))
+    told = c.withColumn("t", T.terms("claim"))
+    heads = told.filter(F.size("t") >= 5).select("claim_id", "claim", F.xxhash64(F.slice("t", 2, 3)).alias("g"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("t", i, 3)))
+    some = t.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).join(heads, "g")
+    long = some.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "claim")).select("claim_id", "doc_id")
+    few = F.broadcast(told.filter(F.size("t") < 5).select("claim_id", "claim"))
+    short = docs.select("doc_id", "text").join(few, F.contains("text", "claim")).select("claim_id", "doc_id")
+    return long.union(short)
+
+
 @query(f"""WITH {S.CLAIM_TERMS}, {S.INDEX}, {S.BM25}, truth AS (SELECT claim_id, doc_id FROM claims JOIN documents ON contains(text, claim))
 SELECT count(*) AS pairs, count(*) FILTER (WHERE bm25_rank <= 10) AS found FROM truth LEFT JOIN lex ON lex.claim_id = truth.claim_id AND passage_id = doc_id""")
 def recall_at_k(spark, d):
-    """Verbatim claims are found by a shingle of their second to fourth term, then checked whole: no claim meets every
-    document. The first and last term may be parts of a document's words. Claims have five terms or more."""
-    c, docs = claims(spark, d), documents(spark, d).withColumn("t", T.terms("text"))
-    heads = c.withColumn("t", T.terms("claim")).filter(F.size("t") >= 5).select("claim_id", "claim", F.xxhash64(F.slice("t", 2, 3)).alias("g"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("t", i, 3)))
-    some = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("g")).join(heads, "g")
-    truth = some.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "claim")).select("claim_id", "doc_id")
+    c, docs = claims(spark, d), documents(spark, d)
+    truth = verbatim(c, docs)
     hits = lexical.search(lexical.build(corpus_passages(spark, d)), c, 10).select("claim_id", F.col("passage_id").alias("doc_id"), "bm25_rank")
     return truth.join(hits, ["claim_id", "doc_id"], "left").agg(F.count(F.lit(1)).alias("pairs"), F.count("bm25_rank").alias("found"))
 

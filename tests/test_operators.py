@@ -1,5 +1,6 @@
 import sqlite3
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import chunk, dense, judge, lexical, review
 from evidentia.plans import verify
 from evidentia.plans.corpus import Corpus, CorpusError
+from evidentia.queries import documents as queries
 from evidentia.sources import readers
 
 
@@ -143,3 +145,22 @@ def test_stream_windows(spark, tmp_path):
     q = live.windowed_counts(stream, "ts", "kind").writeStream.outputMode("append").format("memory").queryName("win").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r["n"] for r in spark.table("win").collect()] == [1]
+
+
+def test_recall_counts_short_claims(spark, tmp_path):
+    """Claims of no term to six terms, some cut within words, against the oracle."""
+    from tests.compare import rows
+
+    docs = [(1, "Alpha beta gamma delta epsilon zeta eta theta."), (2, "alphabet soup, beta gamma -- delta!"), (3, ""), (4, None), (5, "beta gamma beta gamma"), (6, "¿? -- ... Ärger über Öl")]
+    claims = ["", "--", "...", "a", "beta", "beta gamma", "gamma delta epsilon", "lpha beta gamma delt", "beta gamma delta epsilon", "beta gamma delta epsilon zet", "pha beta gamma delta epsilon zeta et", "Ärger über", "nowhere", None]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(claims)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    rel = con.sql(queries.ORACLE["recall_at_k"])
+    got = queries.recall_at_k(spark, str(tmp_path))
+    assert rows(got.columns, got.collect()) == rows(rel.columns, rel.fetchall())
+    pairs = {(c, k) for k, t in docs for c, x in enumerate(claims) if t is not None and x is not None and x in t}
+    got = queries.verbatim(queries.claims(spark, str(tmp_path)), queries.documents(spark, str(tmp_path))).collect()
+    assert len(got) == len(pairs) and {tuple(r) for r in got} == pairs
