@@ -128,8 +128,11 @@ ASIDE_NAMES = re.compile(
 )
 ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body-?text)(?:$|[\s_-])")
 
+#: Attributes as a browser reads them: a quote counts only where a value begins, and one that never closes is a character
+#: like others. Possessive, so that each tag is read once and ends at its own > or with the page, however long it is.
+ATTRS = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<({HIDDEN})\b[^>]*(?<!/)>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]{{0,4000}}\"|'[^']{{0,4000}}')*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*$",
+    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b{ATTRS}(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({ATTRS})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -173,10 +176,10 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if m.start() > at:
             runs.append((charrefs.unescape(page[at : m.start()]), link))
         at = m.end()
-        tag = (m[3] or m[6] or "").lower()
+        tag = (m[3] or "").lower()
         if not tag:
             continue
-        ends, attrs = bool(m[2] or m[5]), m[4] or m[7] or ""
+        ends, attrs = bool(m[2]), m[4]
         if tag == "br":
             runs.append((" ", link))
             continue

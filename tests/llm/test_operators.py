@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -276,6 +277,20 @@ def test_html_cases(spark):
     assert (html.train().predict(table[:, :-1]) == table[:, -1].astype(bool)).mean() >= 0.95
 
 
+def test_html_long_attributes():
+    tree = html.train()
+    text = lambda page: html.main_text(page, tree)
+    for q, other in (('"', "'"), ("'", '"')):
+        value = "x " * 5_000 + f"{other}>secret <b>{other} " + "y " * 5_000
+        assert text(f"<article><p>one</p><p data-x={q}{value}{q}>two</p><img alt = {q}{value}{q}><p>three</p></article>") == "one\ntwo\nthree"
+    assert text("<article><p>one</p><p don't>it's</p><p title=a\"b>two</p><p title=\"never closed>three</p></article>") == "one\nit's\ntwo\nthree"
+    assert text("<article><p>one</p><p data-x='cut off > here") == "one\nhere"
+    began = time.monotonic()
+    for junk in ('<a x=">" ', "<a x='", '<a x="', "<a ", "<", '"', "<a b= "):
+        text("<article><p>one</p>" + junk * 50_000)
+    assert time.monotonic() - began < 20
+
+
 def test_ngram_cases(docs, none):
     got = [r for r in ngrams.ngram_scores(docs).collect()]
     assert len(got) == len(TEXTS)
