@@ -132,18 +132,19 @@ ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|stor
 #: like others. Possessive, so that each tag is read once and ends at its own > or with the page, however long it is.
 ATTRS = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b{ATTRS}(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({ATTRS})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})(?=[\s/>]){ATTRS}(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({ATTRS})(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: One attribute: its whole name, then its value in double quotes, in single quotes or in none.
+ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 
 
 def _says(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
     """What a container says of its text: aside, article. A header within an article is its own."""
     aside, article = tag in ASIDE_TAGS and not (tag == "header" and inside), tag in ("article", "main")
     if attrs and not attrs.isspace():
-        for name, value in ATTR.findall(attrs):
-            name, value = name.lower(), value.strip("\"'").lower()
+        for name, *values in ATTR.findall(attrs):
+            name, value = name.lower(), "".join(values).lower()
             if name in ("class", "id"):
                 aside |= bool(ASIDE_NAMES.search(value)) and tag not in ("body", "html", "article", "main")
                 article |= bool(ARTICLE_NAMES.search(value)) and tag not in ("body", "html", "a", "span")

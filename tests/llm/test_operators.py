@@ -291,6 +291,20 @@ def test_html_long_attributes():
     assert time.monotonic() - began < 20
 
 
+def test_html_names_are_whole():
+    tree = html.train()
+    for tag in ("video-player", "button-group", "title-bar", "map-view", "svg:x", "canvas.x"):
+        assert html.main_text(f"<article><p>one</p><{tag} a=b></{tag}><p>two</p></article>", tree) == "one\ntwo", tag
+    for tag in ("video", "button", "title", "map", "SCRIPT"):
+        assert html.main_text(f"<article><p>one</p><{tag}\na=b>no</{tag}><p>two</p></article>", tree) == "one\ntwo", tag
+    plain = ('href="/hidden-lakes/"', 'title="a hidden lake"', 'data-title="Hidden gems"', 'data-id="comments"', 'href="/v?id=comments"', "href=/v?id=comments", "title='x class=sidebar'", "data-hidden", "hidden-x=1", 'aria-hidden="false"', 'data-role = "navigation"', 'data-style="display:none"')
+    for attrs in plain:
+        assert html._says("p", " " + attrs, True) == (False, False), attrs
+        assert html.main_text(f"<article><p>one</p><section {attrs}><p>two</p></section></article>", tree) == "one\ntwo", attrs
+    for attrs in ("hidden", 'HIDDEN=""', "id=comments", "title='x' class = 'a sidebar'", 'aria-hidden="true"', "role=navigation", 'style="color:red; display: none"', "data-a=b/hidden hidden/"):
+        assert html._says("p", " " + attrs, True)[0], attrs
+
+
 def test_ngram_cases(docs, none):
     got = [r for r in ngrams.ngram_scores(docs).collect()]
     assert len(got) == len(TEXTS)
