@@ -307,6 +307,16 @@ def sentence_candidates(spark, d):
     return got.select("claim_id", F.col("sentence_id").alias("sentence"), "passage_id", "passage_rank")
 
 
+@query(f"""{S.HYBRID}, {S.sentences()},
+x AS (SELECT claim_id, passage_id, fusion_rank, {S.TRIM('source_text')} AS sentence, page_sentence_index AS pos FROM fused JOIN sen ON document_id = passage_id WHERE fusion_rank <= 30)
+SELECT claim_id, sentence, passage_id, fusion_rank AS passage_rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, sentence ORDER BY fusion_rank, pos) AS n FROM x) WHERE n = 1""")
+def sentence_candidates_fused(spark, d):
+    """Distinct sentences (by text) of each claim's thirty best fused passages: the depth of production."""
+    s = sentences(spark, d).select(F.col("document_id").alias("passage_id"), F.col("source_text").alias("sentence_id"), F.col("page_sentence_index").alias("position"))
+    got = review.sentence_candidates(fused(spark, d).withColumn("passage_rank", F.col("fusion_rank")), s)
+    return got.select("claim_id", F.col("sentence_id").alias("sentence"), "passage_id", "passage_rank")
+
+
 # --- contexts and review
 
 

@@ -164,3 +164,20 @@ def test_recall_counts_short_claims(spark, tmp_path):
     pairs = {(c, k) for k, t in docs for c, x in enumerate(claims) if t is not None and x is not None and x in t}
     got = queries.verbatim(queries.claims(spark, str(tmp_path)), queries.documents(spark, str(tmp_path))).collect()
     assert len(got) == len(pairs) and {tuple(r) for r in got} == pairs
+
+
+def test_sentence_candidates_reach_thirty_fused_passages(spark):
+    """The registered query gives all sentences of all thirty passages, by brute force over the fused ranks."""
+    d = "/root/testdata/sf0.001"
+    top = queries.fused(spark, d).filter("fusion_rank <= 30").select("claim_id", "passage_id", "fusion_rank").collect()
+    of: dict = {}
+    for r in queries.sentences(spark, d).collect():
+        of.setdefault(r["document_id"], []).append(r["source_text"])
+    want: dict = {}
+    for r in top:
+        for t in of.get(r["passage_id"], []):
+            key = (r["claim_id"], t)
+            want[key] = min(want.get(key, (99, 0)), (r["fusion_rank"], r["passage_id"]))
+    got = queries.QUERIES["sentence_candidates_fused"](spark, d).collect()
+    assert max(r["passage_rank"] for r in got) == 30
+    assert len(got) == len(want) and {(r["claim_id"], r["sentence"]): (r["passage_rank"], r["passage_id"]) for r in got} == want
