@@ -163,28 +163,87 @@ def test_fingerprint_by_hand():
         assert simhash.fingerprint(t) == slow(t)
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 20])
-def test_simhash_links(spark, group_rows):
-    """Also with groups so small that they are split by deeper node pairs."""
-    rng = random.Random(5)
+def test_fingerprint_parts():
+    for words in (3, 5, 4):
+        one, four = simhash.fingerprint(LONG, words), simhash.fingerprint(LONG, words, parts=4)
+        assert four >> 192 == one and four.bit_length() <= 256
+    assert simhash.fingerprint(LONG, 5) != simhash.fingerprint(LONG, 3) and simhash.fingerprint(None, parts=4) == 0
+
+
+def clusters(rng, bits, centres, members, flips):
     points = set()
-    for c in [rng.getrandbits(64) for _ in range(12)] + [0]:
-        for _ in range(25):
+    for c in [rng.getrandbits(bits) for _ in range(centres)] + [0]:
+        for _ in range(members):
             v = c
-            for _ in range(rng.randint(0, 4)):
-                v ^= 1 << rng.randrange(64)
+            for _ in range(rng.randint(0, flips)):
+                v ^= 1 << rng.randrange(bits)
             points.add(v)
-    fps = sorted(x - (1 << 64) if x >> 63 else x for x in points)
-    want = components_of(len(fps), lambda i, j: ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 3)
-    got = simhash.components.connected_components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp bigint"), 3, group_rows), "a", "b")
-    label = {r["node"]: r["component"] for r in got.collect()}
-    assert [label.get(x, x) for x in fps] == [fps[r] for r in want]
+    return sorted(points)
+
+
+def labels_of(spark, fps, size, search, group_rows):
+    df = spark.createDataFrame([(x.to_bytes(size, "big"),) for x in fps], "fp binary")
+    got = simhash.components.connected_components(simhash.links(df, search, group_rows), "a", "b")
+    label = {bytes(r["node"]): bytes(r["component"]) for r in got.collect()}
+    return [int.from_bytes(label.get(x.to_bytes(size, "big"), x.to_bytes(size, "big")), "big") for x in fps]
+
+
+@pytest.mark.parametrize("group_rows", [10_000, 20])
+def test_simhash_links(spark, group_rows):
+    """Also with nodes so small that they are split by deeper node pairs."""
+    fps = clusters(random.Random(5), 64, 12, 25, 4)
+    want = components_of(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
+    assert labels_of(spark, fps, 8, simhash.exact_search(3), group_rows) == [fps[r] for r in want]
+
+
+def test_simhash_wide_links(spark):
+    """A search by recall links nothing beyond its budget, and pairs at the similarity nearly always."""
+    search = simhash.similar_search(1000)
+    rng = random.Random(6)
+    p = np.arccos(1.6 / 1.8) / np.pi
+    fps, pairs = [], 400
+    for _ in range(pairs):
+        a = rng.getrandbits(256)
+        b = a
+        for i in range(256):
+            b ^= int(rng.random() < p) << i
+        fps += [a, b]
+    got = labels_of(spark, fps, 32, search, 10_000)
+    linked = [got[2 * k] == got[2 * k + 1] for k in range(pairs)]
+    within = [(fps[2 * k] ^ fps[2 * k + 1]).bit_count() <= search.budget for k in range(pairs)]
+    assert all(w or not x for w, x in zip(within, linked)) and sum(linked) >= 0.92 * pairs
+    assert len(set(got)) == 2 * pairs - sum(linked)
+    # a crowd in one node is split, and stays one component
+    centre = rng.getrandbits(256)
+    crowd = sorted({centre ^ sum(1 << i for i in rng.sample(range(256), 6)) for _ in range(300)})
+    assert len(set(labels_of(spark, crowd, 32, search, 40))) <= 3
 
 
 def test_simhash_documents(docs, none):
-    got = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    got = {(r["doc_id"], bytes(r["fp"])): r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert {c for (k, _), c in got.items() if k in (2, 3, 4)} == {2} and {c for (k, _), c in got.items() if k == 1} == {1}
     assert 1 in {c for (k, _), c in got.items() if k == 5} and simhash.near_duplicates(none).count() == 0
+    nulls = docs.withColumn("doc_id", F.when(F.col("doc_id") > 4, F.col("doc_id")))
+    assert {r["component_id"] for r in simhash.near_duplicates(nulls).collect()} == {None, 5, 6, 7}
+
+
+def test_keep_first(spark, none):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(500)}" for _ in range(300)] for _ in range(30)]
+    rows = []
+    for k, w in enumerate(base):
+        rows.append((k, " ".join(w), {"a": "1"}))
+        near = list(w)
+        for at in (60, 200):
+            near[at] = "other"
+        rows.append((100 + k, " ".join(near), None))
+    rows += [(0, rows[0][1], {"a": "2"}), (None, rows[2][1], None), (None, "alone in the world without any id", None), (None, "alone in the world without any id", None), (None, None, None), (5, "this row has an id that another text has too", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, more map<string,string>").repartition(3)
+    got = simhash.keep_first(df).collect()
+    ids = [r["doc_id"] for r in got]
+    assert sorted(i for i in ids if i is not None) == sorted([*range(30), 5]) and ids.count(None) == 2
+    assert {r["text"] for r in got if r["doc_id"] is None} == {None, "alone in the world without any id"}
+    assert simhash.keep_first(none).count() == 0 and got[0].asDict().keys() == {"doc_id", "text", "more"}
 
 
 def test_embedding_links(spark):

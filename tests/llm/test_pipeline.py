@@ -16,13 +16,14 @@ def test_stages(spark, tmp_path):
         ids = [r[0] for r in docs.select("doc_id").collect()]
         if k < 3:
             assert docs.columns == columns
-            assert docs.join(before, columns, "left_anti").count() <= before.filter("source IS NULL OR lang IS NULL").count()
+            same = [c for c in columns if c != "lang" or name != "language_id"]
+            assert docs.join(before, same, "left_anti").count() <= before.filter("source IS NULL OR lang IS NULL").count()
         if name == "language_id":
             assert not {90001, 90002, 90003} & set(ids)
         if name == "quality_rules":
             assert 90004 not in ids
         if name == "near_dedup":
-            groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(before).collect()}
+            groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(before, words=5, similarity=0.8).collect()}
             assert sorted(ids) == sorted({c for c in groups.values()})
     assert {r[0] for r in docs.select("doc_id").distinct().collect()} <= {r[0] for r in src.select("doc_id").collect()}
 
