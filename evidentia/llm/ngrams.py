@@ -1,15 +1,18 @@
 """Stupid-backoff scores of documents against the rest of their corpus (operator 2).
 
-N-grams are counted in tables partitioned by a hash of the n-gram. A block of documents asks for the counts of its
-distinct n-grams, along with how often it has each; where the requests for a part of the hashes meet, they are summed
-into that part's count table and joined back to it, and the counts return to the block, which scores its documents.
-Counts cover the whole corpus. A document's own n-grams are taken off before it is scored, so it is judged by the others.
+Blocks of documents give their distinct n-grams, as 64-bit hashes, with how often they have each. These are dealt by a
+hash of the n-gram, exploded to a row for each n-gram of a block, and counted: every part is a count table of its n-grams,
+whose totals are joined back to the rows, where they lie already. Totals of n-grams that other blocks have as well return
+to their block (of the others it knows the total), which sums its documents' scores. Counts cover the whole corpus. A
+document's own n-grams are taken off before it is scored, so it is judged by the others.
 
 score: mean over a document's words of ln S(w | v) with S = c(v w) / c(v) if c(v w) > 0, else BACKOFF * c(w) / N, where
 counts leave the document out; a word found nowhere else counts UNSEEN. Higher orders back off one word at a time.
 
-A frequent n-gram costs a block one entry however often it occurs, so no part of the table is hot. Parts grow in number
+A frequent n-gram costs a block one row however often it occurs, so no part of the table is hot. Parts grow in number
 with the input. The input is scanned twice and must give the same rows in the same partitions; if not, the job fails.
+N-grams are told apart by their hashes alone: of n distinct ones about n * n / 2**65 pairs share a hash and are counted
+together, which is none in a billion and some 27,000 pairs in a million million.
 
 Defined results: a text without words (null, empty) has n_words 0 and a null score; equal rows are scored once each and
 count for one another; an empty table gives no rows; columns with clashing names are ignored.
@@ -17,14 +20,13 @@ count for one another; an empty table gives no rows; columns with clashing names
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -34,12 +36,10 @@ from evidentia.llm.wordtable import BUCKET_BYTES, LEAST_BUCKETS, blocks, pack, s
 ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
 #: Text bytes of a block. Its n-grams are held as arrays of 64-bit numbers, so it is smaller than elsewhere.
 GRAM_BLOCK_BYTES = 5_000_000
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = r"[^\x20\x09-\x0D]+"
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+#: A place among a block's n-grams of a part and a total, in one number.
+TOTAL_BITS = 40
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -50,7 +50,8 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """A block's n-grams of every order: hashes at each place, distinct hashes, and each place's distinct one."""
+    """A block's n-grams of every order: distinct hashes and their counts, one order after the other, and for each order
+    the places where one ends and which distinct one it is."""
 
     def __init__(self, places: list[np.ndarray], hashes: np.ndarray, order: int):
         self.lengths = np.array([len(p) for p in places], dtype=np.int64)
@@ -58,36 +59,50 @@ class Grams:
         self.doc = np.repeat(np.arange(len(places)), self.lengths)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         word = hashes[flat] if len(flat) else np.zeros(0, np.uint64)
-        gram, self.where, self.keys, self.ids, self.counts = word, [], [], [], []
+        gram, self.where, keys, self.ids, counts, base = word, [], [], [], [], 0
         for n in range(1, order + 1):
             if n > 1:
                 gram = np.concatenate([np.zeros(1, np.uint64), _mix(gram[:-1], word[1:])])[: len(word)]
             ok = at >= n - 1  # places at which an n-gram of the document ends
-            keys, inverse, counts = np.unique(gram[ok], return_inverse=True, return_counts=True)
+            own, inverse, count = np.unique(gram[ok], return_inverse=True, return_counts=True)
             self.where.append(np.flatnonzero(ok))
-            self.keys.append(keys)
-            self.ids.append(inverse)
-            self.counts.append(counts)
+            self.ids.append(inverse + base)
+            keys.append(own)
+            counts.append(count)
+            base += len(own)
+        self.keys, self.counts = np.concatenate(keys), np.concatenate(counts)
 
     def own(self, n: int) -> np.ndarray:
         """How often the n-gram of each place of where[n] stands in its own document."""
-        code = self.doc[self.where[n]] * max(1, len(self.keys[n])) + self.ids[n]
+        code = self.doc[self.where[n]] * max(1, len(self.keys)) + self.ids[n]
         _, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
         return counts[inverse]
 
+    def parts(self, buckets: int) -> dict[int, np.ndarray]:
+        """The distinct n-grams of each part of the table."""
+        bucket = (self.keys % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        used, first = np.unique(bucket[order], return_index=True)
+        return dict(zip(used.tolist(), np.split(order, first[1:])))
+
+
+def totals(asked: DataFrame) -> DataFrame:
+    """asked: block, bucket, keys, counts. Gives block, bucket, more: place and total of its n-grams that others have too.
 
-def _parts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the keys by bucket, the buckets, and where each begins."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    used, first = np.unique(bucket[order], return_index=True)
-    return order, used, first
+    The one shuffle is by bucket, which an n-gram belongs to; its explosion, count and way back stay within the part.
+    """
+    rows = asked.repartition("bucket").select("block", "bucket", F.posexplode(F.arrays_zip("keys", "counts")).alias("pos", "x"))
+    rows = rows.select("block", "bucket", "pos", F.col("x.keys").alias("gram"), F.col("x.counts").cast("long").alias("n"))
+    counted = rows.withColumn("total", F.sum("n").over(Window.partitionBy("gram", "bucket"))).filter("total > n")
+    packed = F.shiftleft(F.col("pos").cast("long"), TOTAL_BITS) + F.col("total")
+    return counted.groupBy("block", "bucket").agg(F.collect_list(packed).alias("more"))
 
 
 def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_backoff (words whose full n-gram is found nowhere else), score."""
-    few = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = max(LEAST_BUCKETS, size_of(few) // BUCKET_BYTES)
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
+    few = df.select(F.col(id_col).alias("doc_id"), words.alias("words"))
+    buckets = max(LEAST_BUCKETS, size_of(df.select(id_col, text_col)) // BUCKET_BYTES)
     id_type = few.schema["doc_id"].dataType
     id_arrow = to_arrow_type(id_type)
 
@@ -95,53 +110,38 @@ def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text
         return np.array([xxhash.xxh64_intdigest(w) for w in (x.encode("utf-8", "surrogatepass") for x in distinct)], dtype=np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, places, distinct in blocks(batches, words_of, GRAM_BLOCK_BYTES):
+        for block, _, places, distinct in blocks(batches, GRAM_BLOCK_BYTES):
             g = Grams([np.array(p, np.int64) for p in places], hashed(distinct), order)
-            for n in range(order):
-                by, used, first = _parts(g.keys[n], buckets)
-                keys, counts = np.split(g.keys[n][by], first[1:]), np.split(g.counts[n][by], first[1:])
-                size = len(used)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * size), pa.array([n] * size, pa.int32()), pa.array(used), pa.array([k.astype("<u8").tobytes() for k in keys[:size]], pa.binary()), pa.array([pack(c) for c in counts[:size]], pa.binary())], ["block", "n", "bucket", "keys", "counts"])
-
-    def count(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, "<u8") for k in group.column("keys").to_pylist()]
-        counts = np.concatenate([unpack(c) for c in group.column("counts").to_pylist()]).astype(np.int64)
-        table, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(table), np.int64)
-        np.add.at(total, inverse, counts)
-        back = np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        empty = pa.array([None] * len(back), pa.binary())
-        return pa.table({"block": group.column("block"), "n": group.column("n"), "bucket": group.column("bucket"), "payload": pa.array([pack(b) for b in back], pa.binary()), "docs": empty})
+            for bucket, some in g.parts(buckets).items():
+                ends = pa.array([0, len(some)], pa.int32())
+                keys, counts = pa.array(g.keys[some].view(np.int64)), pa.array(g.counts[some].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket]), pa.ListArray.from_arrays(ends, keys), pa.ListArray.from_arrays(ends, counts)], ["block", "bucket", "keys", "counts"])
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, places, distinct in blocks(batches, words_of, GRAM_BLOCK_BYTES):
+        for block, ids, places, distinct in blocks(batches, GRAM_BLOCK_BYTES):
             lengths, flat = pack(np.array([len(p) for p in places])), pack(np.fromiter((x for p in places for x in p), np.uint32))
             data = pa.record_batch([pa.array([lengths], pa.binary()), pa.array([flat], pa.binary()), pa.array([hashed(distinct).astype("<u8").tobytes()], pa.binary()), pa.array([ids], pa.list_(id_arrow))], ["lengths", "flat", "hashes", "ids"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, data.schema) as w:
                 w.write_batch(data)
             payload = zstandard.compress(sink.getvalue().to_pybytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), pa.array([-1]), pa.array([b""], pa.binary()), pa.array([payload], pa.binary())], ["block", "n", "bucket", "payload", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1]), pa.array([None], pa.list_(pa.int64())), pa.array([payload], pa.binary())], ["block", "bucket", "more", "docs"])
 
     def score(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        own = [r for r in rows if r["docs"] is not None]
+        own = [x for x in group.column("docs").to_pylist() if x is not None]
         if len(own) != 1:
             raise ValueError("a block's words and places do not match: the input changed between two scans")
-        data = pa.ipc.open_stream(zstandard.decompress(own[0]["docs"])).read_all().to_pylist()[0]
+        data = pa.ipc.open_stream(zstandard.decompress(own[0])).read_all().to_pylist()[0]
         lengths, flat = unpack(data["lengths"]).astype(np.int64), unpack(data["flat"]).astype(np.int64)
         places = np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else []
         g = Grams(places, np.frombuffer(data["hashes"], "<u8"), order)
-        answers = {(r["n"], r["bucket"]): unpack(r["payload"]) for r in rows if r["docs"] is None}
+        total, parts = g.counts.astype(np.int64), g.parts(buckets)
+        for bucket, more in zip(group.column("bucket").to_pylist(), group.column("more")):
+            if more.is_valid:
+                packed = more.values.to_numpy()
+                total[parts[bucket][packed >> TOTAL_BITS]] = packed & (1 << TOTAL_BITS) - 1
         left = []  # for each order, at each place: how often the n-gram ending there stands in other documents
         for n in range(order):
-            by, used, _ = _parts(g.keys[n], buckets)
-            total = np.zeros(len(g.keys[n]), np.int64)
-            got = [answers.get((n, int(b)), np.zeros(0, np.uint32)) for b in used]
-            if sum(map(len, got)) != len(by):
-                raise ValueError("a block's words and places do not match: the input changed between two scans")
-            if got:
-                total[by] = np.concatenate(got)
             x = np.zeros(len(flat), np.int64)
             x[g.where[n]] = total[g.ids[n]] - g.own(n)
             left.append(x)
@@ -164,10 +164,8 @@ def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text
         sums = np.bincount(g.doc, logs, m)
         return pa.table({"doc_id": pa.array(data["ids"], id_arrow), "n_words": pa.array(lengths), "n_backoff": pa.array(np.bincount(g.doc, backed, m).astype(np.int64)), "n_unigram": pa.array(np.bincount(g.doc, unigram, m).astype(np.int64)), "logs": pa.array(sums)})
 
-    asked = few.mapInArrow(ask, "block long, n int, bucket long, keys binary, counts binary")
-    packed = "block long, n int, bucket long, payload binary, docs binary"
-    answered = asked.groupBy("bucket").applyInArrow(count, packed)
-    both = few.mapInArrow(positions, packed).unionByName(answered)
+    answered = totals(few.mapInArrow(ask, "block long, bucket long, keys array<long>, counts array<int>"))
+    both = few.mapInArrow(positions, "block long, bucket long, more array<long>, docs binary").unionByName(answered.withColumn("docs", F.lit(None).cast("binary")))
     got = shared.save(both.groupBy("block").applyInArrow(score, f"doc_id {id_type.simpleString()}, n_words long, n_backoff long, n_unigram long, logs double"), "ngram-scores")
     total = got.agg(F.sum("n_words")).first()[0] or 0
     others = F.greatest(F.lit(1), F.lit(total) - F.col("n_words"))

@@ -1,10 +1,11 @@
 """BPE encoding and decoding through a table of distinct words (operator 9).
 
-Texts are split at single spaces. A block of documents keeps each document's words as places in the block's own list of
-distinct words. The lists are dealt by a hash of the word; where they meet, each distinct word is encoded once, and its
-ids go back to every block that has it, which joins them by position. Decoding joins the ids to the vocabulary's
-id-to-piece table. Neither texts nor a word's occurrences are shuffled, only a block's distinct words and packed places,
-so a frequent word costs one entry per block.
+Spark splits texts at single spaces. A block of documents keeps each document's words as places in the block's own list
+of distinct words. The lists are dealt by a hash of the word; where they meet, each distinct word is encoded once, and its
+ids go back to every block that has it, which joins them by position. Decoding joins each document's ids, by position
+again, to the vocabulary's id-to-piece table, which is as large as the vocabulary and part of the plan. Neither texts nor
+a word's occurrences are shuffled, only a block's distinct words and packed places, so a frequent word costs one entry
+per block.
 
 Defined results: null text counts as empty (no ids, empty decoded text); equal rows are encoded once each; empty tables
 give no rows; other columns are ignored, whatever their names; null ids stay null. The input is scanned twice and must
@@ -15,6 +16,7 @@ documents.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 from array import array
 from collections.abc import Iterator
@@ -53,12 +55,14 @@ class Index(dict):
         return place
 
 
-def by_space(text: str) -> list[str]:
-    return text.split(" ") if text else []
+def lists(column: pa.ListArray) -> Iterator[list[str]]:
+    """The lists of words of a batch."""
+    flat, ends = column.flatten().to_pylist(), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    return (flat[i:j] for i, j in zip([0, *ends], ends))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], split=by_space, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list, list[array], list[str]]]:
-    """block id, documents' ids, their words as places, the distinct words."""
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list, list[array], list[str]]]:
+    """batches: id, words. Gives block id, documents' ids, their words as places, the distinct words."""
     part, k = TaskContext.get().partitionId(), 0
     ids, places, index, size = [], [], Index(), 0
 
@@ -70,11 +74,10 @@ def blocks(batches: Iterator[pa.RecordBatch], split=by_space, limit: int = BLOCK
         return seal.intdigest() - (1 << 63), ids, places, words
 
     for b in batches:
-        for doc, text in zip(*b.columns):
-            text = text.as_py()
+        for doc, words in zip(b.column(0), lists(b.column(1))):
             ids.append(doc.as_py())
-            places.append(array("I", map(index.__getitem__, split(text))))
-            size += len(text)
+            places.append(array("I", map(index.__getitem__, words)))
+            size += sum(map(len, words)) + len(words)
             if size >= limit:
                 yield close()
                 ids, places, index, size, k = [], [], Index(), 0, k + 1
@@ -91,7 +94,7 @@ def encode_decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id"
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (text); full=False: their SHA-256 instead."""
     path = path or tokens.default_path("word_bpe_49k.json")
     bad = tokens.unreachable(path)
-    few = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    few = df.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), " ").alias("words"))
     buckets = max(LEAST_BUCKETS, size_of(few) // BUCKET_BYTES)
     id_type = few.schema["doc_id"].dataType
     id_arrow = to_arrow_type(id_type)
@@ -132,7 +135,6 @@ def encode_decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([lengths]), pa.array([pack(flat)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "places", "payload", "docs"])
 
     def join(group: pa.Table) -> pa.Table:
-        piece = pieces(path)
         own = [r for r in group.to_pylist() if r["docs"] is not None]
         answers = [r for r in group.to_pylist() if r["docs"] is None]
         if len(own) != 1:
@@ -147,41 +149,36 @@ def encode_decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id"
             table += [data[4 * i : 4 * j] for i, j in zip([0, *ends], ends)]
         back = np.argsort(np.concatenate(at)).tolist() if at else []
         table = [table[i] for i in back]
-        text = [b" ".join([piece[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in table]
         flat = unpack(own[0]["payload"]).tolist()
         if flat and max(flat) >= len(table):
             raise ValueError("a block's words and places do not match: the input changed between two scans")
         ids = pa.ipc.open_stream(own[0]["docs"]).read_all().column(0).combine_chunks()
-        n, a, b, i = [], [], [], 0
+        parts, i = [], 0
         for length in unpack(own[0]["places"]).tolist():
             mine = flat[i : i + length]
             i += length
-            x = b"".join([table[k] for k in mine])
-            y = b" ".join([t for t in [text[k] for k in mine] if t])
-            n.append(len(x) // 4)
-            a.append(x if full else hashlib.sha256(x).hexdigest())
-            b.append(y.decode() if full else hashlib.sha256(y).hexdigest())
-        return pa.table({"doc_id": ids, "n_tokens": pa.array(n, pa.int64()), "a": pa.array(a, pa.binary() if full else pa.string()), "b": pa.array(b, pa.string())})
+            parts.append(b"".join([table[k] for k in mine]))
+        n = np.array([len(x) // 4 for x in parts], np.int64)
+        flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+        coded = pa.array(parts, pa.binary()) if full else pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(n), "coded": coded, "flat": flat})
 
     asked = few.mapInArrow(words, "block long, bucket long, places binary, payload binary")
     packed = "block long, places binary, payload binary, docs binary"
     answered = asked.groupBy("bucket").applyInArrow(encode, packed)
     both = few.mapInArrow(positions, packed).unionByName(answered)
-    a, b = ("ids", "decoded") if full else ("ids_sha256", "decoded_sha256")
-    got = both.groupBy("block").applyInArrow(join, f"doc_id {id_type.simpleString()}, n_tokens long, a {'binary' if full else 'string'}, b string")
-    return got.withColumnsRenamed({"a": a, "b": b})
+    got = both.groupBy("block").applyInArrow(join, f"doc_id {id_type.simpleString()}, n_tokens long, coded {'binary' if full else 'string'}, flat array<int>")
+    table = F.from_json(F.lit(json.dumps(pieces(path))), "array<string>")  # folded to one constant
+    decoded = F.array_join(F.transform("flat", lambda i: F.get(table, i)), " ")
+    if full:
+        return got.select("doc_id", "n_tokens", F.col("coded").alias("ids"), decoded.alias("decoded"))
+    return got.select("doc_id", "n_tokens", F.col("coded").alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
-_pieces: dict[str, list[bytes]] = {}
-
-
-def pieces(path: str) -> list[bytes]:
+def pieces(path: str) -> list[str]:
     """The vocabulary's id-to-piece table: one entry per id, fixed by the vocabulary file."""
-    if path not in _pieces:
-        t = tokens.library(path)
-        names = {i: s for s, i in t.get_vocab(with_added_tokens=True).items()}
-        _pieces[path] = [names.get(i, "").encode() for i in range(max(names) + 1)]
-    return _pieces[path]
+    names = {i: s for s, i in tokens.library(path).get_vocab(with_added_tokens=True).items()}
+    return [names.get(i, "") for i in range(max(names) + 1)]
 
 
 def op9_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
