@@ -1,31 +1,31 @@
 """Quality rules: base counts and divergence from language references (operator 4). DataFrame functions only.
 
-Every document gets the base counts of its whole text, a histogram over character classes and one over common words.
-References are the same histograms summed over all documents of each language (common words: the COMMON words of up to
-COMMON_CHARS characters, one of them a letter, that are most frequent in each language, together). A document is kept
-if it passes the base rule and its Jensen-Shannon distances to its language's reference (the nearest one, if it has no
-language with a reference) are small. Common words cover a small part of any text, so the distance of words is measured
-against what each reference allows: a text without any common word has the distance `_bare`, and a text is far beyond
-WORD_SHARE of it. A guard spares short documents: a histogram of few words or characters, or one in which the reference
-lets expect less than GUARD_HITS common words, says little.
-
-Nothing is shuffled but partial counts of short words and a row of counts per language; documents stay where they are.
+Every document gets the base counts of its whole text, a histogram over character classes and one over the common words
+of its language: the COMMON words, with a letter, that are most frequent in all documents of that language. References
+are the same histograms summed over all documents of each language. A document is kept if it passes the base rule and
+its Jensen-Shannon distances to its language's reference (the nearest of all, if it has no language) are small. Common
+words cover a small part of any text, so the distance of words is measured against what each reference allows: a text
+without any common word has the distance `_bare`, and a text is far beyond WORD_SHARE of it. A guard spares short
+documents: a histogram of few words or characters, or one in which the reference lets expect less than GUARD_HITS common
+words, says little.
+
+Nothing is shuffled but partial counts of words and a row of counts per language; documents stay where they are. The
+tables of common words and references have a row per language and are broadcast up to FEW_LANGUAGES of them, beyond that
+joined as any table; a document without a language is held against each reference, so its cost grows with their number.
 
 Defined results: null or empty text has zero counts and fails the base rule; equal rows are judged alike; empty tables
-give no rows; columns with clashing names are ignored. Languages beyond the LANGUAGES most frequent have no reference of
-their own and are held against the nearest. Ties among common words go to the one that sorts first.
+give no rows; columns with clashing names are ignored. Ties among common words go to the one that sorts first.
 """
 
 from __future__ import annotations
 
-from math import log2, sqrt
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm import shared
 
-COMMON, COMMON_CHARS, LANGUAGES = 16, 8, 64
+#: Common words of a language; languages whose tables are broadcast at most (a row of about one KB each).
+COMMON, FEW_LANGUAGES = 16, 4_000
 #: Least characters, words and expected common words at which a histogram counts, and the largest distances of kept
 #: documents: of classes as such, of words as a share of the distance of a text without common words.
 GUARD_CHARS, GUARD_WORDS, GUARD_HITS = 200, 50, 5
@@ -43,107 +43,99 @@ def _left(pattern: str) -> Column:
     return F.length(F.regexp_replace("__t", pattern, ""))
 
 
-def base_counts(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
-    """doc_id, __lang, __t, __words (array), n_words, the base counts and the classes' counts."""
+def shares(df: DataFrame, common: DataFrame, text_col: str, lang_col: str | None, *keep: Column) -> DataFrame:
+    """The kept columns, __lang, __t, __words (array), n_words, n_chars, __classes (counts) and __common (counts by word)."""
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    d = df.select(F.col(id_col).alias("doc_id"), lang.alias("__lang"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+    d = df.select(*keep, lang.alias("__lang"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
+    d = _beside(d, common)
     d = d.withColumn("__words", F.regexp_extract_all("__t", F.lit(f"[^{SPACE}]+"), F.lit(0)))
-    d = d.withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
-    n, w = F.size("__words"), REPEAT_WINDOW
-    d = d.withColumn("__h", F.expr(f"IF(size(__words) >= {w}, transform(sequence(1, size(__words) - {w - 1}), i -> xxhash64(slice(__words, i, {w}))), array())"))
-    d = d.withColumn("__s", F.expr("IF(size(array_distinct(__h)) = size(__h), array(), array_sort(transform(__h, (x, i) -> named_struct('h', x, 'i', i))))"))
-    repeats = f"""aggregate(array_sort(transform(filter(__s, (e, k) -> (k > 0 AND __s[greatest(k - 1, 0)].h = e.h)
-        OR (k < size(__s) - 1 AND __s[least(k + 1, size(__s) - 1)].h = e.h)), e -> e.i)),
-        named_struct('last', -{w}, 'n', 0), (a, x) -> named_struct('last', x, 'n', a.n + least({w}, x - a.last)), a -> a.n)"""
+    listed = F.coalesce("__list", F.array().cast("array<string>"))
+    d = d.withColumn("__hits", F.filter(F.transform("__words", F.lower), lambda x: F.array_contains(listed, x)))
     d = d.select(
-        "doc_id", "__lang", "__t", "__words", "__row",
-        n.cast("long").alias("n_words"),
+        *[c for c in d.columns if c not in ("__hits", "__list")],
+        F.size("__words").cast("long").alias("n_words"),
+        F.length("__t").cast("long").alias("n_chars"),
         _left(f"[{SPACE}]+").cast("long").alias("word_chars"),
         F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(repeats).cast("long").alias("n_repeat_words"),
-        F.length("__t").cast("long").alias("n_chars"),
         _left("[^A-Z]+").cast("long").alias("upper"),
         _left("[^0-9]+").cast("long").alias("digit"),
         _left(r"[^.,;:!?'\"()\-]+").cast("long").alias("punctuation"),
         F.when(F.octet_length("__t") == F.length("__t"), 0).otherwise(_left(r"[\x00-\x7F]+")).cast("long").alias("wide"),
+        F.map_from_entries(F.transform(F.array_distinct("__hits"), lambda x: F.struct(x, (F.size("__hits") - F.size(F.array_remove("__hits", x))).cast("long")))).alias("__common"),
     )
-    return d
-
-
-def common_words(df: DataFrame, text_col: str, lang_col: str) -> list[str]:
-    """The most frequent short words of each of the most frequent languages, together and sorted: a bounded list."""
-    words = df.select(F.col(lang_col).cast("string").alias("l"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(rf"(?<![^{SPACE}])[^{SPACE}]{{1,{COMMON_CHARS}}}(?![^{SPACE}])"), F.lit(0))).alias("w")).filter(F.col("l").isNotNull() & F.col("w").rlike(r"\p{L}"))
-    counts = shared.save(words.groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    langs = [r["l"] for r in counts.groupBy("l").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()]
-    found: set[str] = set()
-    for lang in langs:  # one bounded top-k for each reference language
-        found |= {r["w"] for r in counts.filter(F.col("l") == lang).orderBy(F.desc("n"), "w").limit(COMMON).collect()}
-    shared.drop(counts)
-    return sorted(found)
-
-
-def features(df: DataFrame, words: list[str], id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
-    d = base_counts(df, id_col, text_col, lang_col)
-    hit = F.filter(F.transform("__words", F.lower), lambda x: x.isin(words)) if words else F.array().cast("array<string>")
-    d = d.withColumn("__hits", hit)
-    counted = F.transform(F.array_distinct("__hits"), lambda x: F.struct(x.alias("w"), F.size(F.filter("__hits", lambda y: y == x)).alias("c")))
     space = F.col("n_chars") - F.col("word_chars")
     rest = F.col("n_chars") - sum((F.col(c) for c in ("upper", "digit", "punctuation", "n_symbols", "wide")), space)
-    return d.select("doc_id", "__lang", "__row", "n_words", *COUNTS, "n_chars", F.array("upper", "digit", "punctuation", "n_symbols", space, "wide", rest).alias("__classes"), counted.alias("__common"))
+    return d.withColumn("__classes", F.array("upper", "digit", "punctuation", "n_symbols", space, "wide", rest)).drop("upper", "digit", "punctuation", "wide")
 
 
-def _term(p: str, q: str) -> str:
-    """Twice a bin's share of the divergence."""
-    return f"(IF({p} > 0, {p} * log2(2 * {p} / ({p} + {q})), 0D) + IF({q} > 0, {q} * log2(2 * {q} / ({p} + {q})), 0D))"
+def features(df: DataFrame, common: DataFrame, text_col: str, lang_col: str | None, *keep: Column) -> DataFrame:
+    """The kept columns, __lang, n_words, n_chars, the base counts, __classes and __common."""
+    d = shares(df, common, text_col, lang_col, *keep)
+    d = d.withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
+    w = REPEAT_WINDOW
+    d = d.withColumn("__h", F.expr(f"IF(size(__words) >= {w}, transform(sequence(1, size(__words) - {w - 1}), i -> xxhash64(slice(__words, i, {w}))), array())"))
+    d = d.withColumn("__s", F.expr("IF(size(array_distinct(__h)) = size(__h), array(), array_sort(transform(__h, (x, i) -> named_struct('h', x, 'i', i))))"))
+    repeats = f"""aggregate(array_sort(transform(filter(__s, (e, k) -> (k > 0 AND __s[greatest(k - 1, 0)].h = e.h)
+        OR (k < size(__s) - 1 AND __s[least(k + 1, size(__s) - 1)].h = e.h)), e -> e.i)),
+        named_struct('last', -{w}, 'n', 0), (a, x) -> named_struct('last', x, 'n', a.n + least({w}, x - a.last)), a -> a.n)"""
+    d = d.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")).withColumn("n_repeat_words", F.expr(repeats).cast("long"))
+    return d.drop("__t", "__words", "__lines", "__h", "__s")
 
 
-def references(feats: DataFrame, words: list[str]) -> list[dict]:
-    """lang, classes and words (shares) of each reference language: one row per language, LANGUAGES at most."""
-    known = feats.filter(F.col("__lang").isNotNull())
-    sums = [F.sum(F.get("__classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
-    rows = known.groupBy("__lang").agg(F.sum("n_words").alias("n"), F.sum("n_chars").alias("m"), *sums).filter("n > 0 AND m > 0").orderBy(F.desc("n"), "__lang").limit(LANGUAGES).collect()
-    refs = {r["__lang"]: {"lang": r["__lang"], "classes": [r[f"c{i}"] / r["m"] for i in range(len(CLASSES))], "words": {}} for r in rows}
-    total = {r["__lang"]: r["n"] for r in rows}
-    counts = known.filter(F.col("__lang").isin(list(refs))).select("__lang", F.explode("__common").alias("x")).groupBy("__lang", F.col("x.w").alias("w")).agg(F.sum("x.c").alias("c"))
-    for r in counts.collect():
-        refs[r["__lang"]]["words"][r["w"]] = r["c"] / total[r["__lang"]]
-    return [refs[r["__lang"]] for r in rows]
+def _beside(d: DataFrame, small: DataFrame) -> DataFrame:
+    """d with the row of its language from a table (lang, one more column); a null language has a row of its own."""
+    if small.count() <= FEW_LANGUAGES:
+        small = F.broadcast(small)
+    return d.join(small.withColumnRenamed("lang", "__key"), F.col("__lang").eqNullSafe(F.col("__key")), "left").drop("__key")
+
 
+def common_words(df: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
+    """lang, __list: the most frequent words of each language, and of all of them together for the null language."""
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    words = df.select(lang.alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"[^{SPACE}]+"), F.lit(0))).alias("w"))
+    counts = words.filter(F.col("lang").isNotNull()).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("w").rlike(r"\p{L}"))
+    # the limit on the rank is pushed below the shuffle: each task sends COMMON words of a language at most
+    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).filter(F.col("k") <= COMMON)
+    own = shared.save(top.groupBy("lang").agg(F.array_sort(F.collect_list("w")).alias("__list")), "common-words")
+    all_ = own.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__list")))).alias("__list"))
+    return shared.save(own.unionByName(all_.select(F.lit(None).cast("string").alias("lang"), "__list")), "common-words")
 
-def _bare(known: float) -> float:
-    """Distance of a text without common words from a reference whose common words have this share in all."""
-    rest = 1 - known
-    return sqrt(max(0.0, 0.5 * (known + log2(2 / (1 + rest)) + (rest * log2(2 * rest / (1 + rest)) if rest > 0 else 0.0))))
 
+def _term(p: str, q: str) -> str:
+    """Twice a bin's share of the divergence."""
+    return f"(IF({p} > 0, {p} * log2(2 * {p} / ({p} + {q})), 0D) + IF({q} > 0, {q} * log2(2 * {q} / ({p} + {q})), 0D))"
 
-def _literal(ref: dict) -> Column:
-    shares = ref["words"] or {"": 0.0}
-    return F.struct(
-        F.lit(ref["lang"]).alias("lang"),
-        F.array(*[F.lit(float(x)) for x in ref["classes"]]).alias("classes"),
-        F.map_from_arrays(F.array(*[F.lit(w) for w in shares]), F.array(*[F.lit(float(x)) for x in shares.values()])).alias("words"),
-        F.lit(float(sum(shares.values()))).alias("known"),
-        F.lit(WORD_SHARE * _bare(min(1.0, sum(shares.values())))).alias("limit"),
-    )
 
+#: Distance of a text without common words from a reference whose common words have the share ``known`` in all.
+_bare = f"sqrt(greatest(0D, 0.5D * (known + {_term('1D', 'greatest(0D, 1 - known)')})))"
 
-def judge(feats: DataFrame, refs: list[dict]) -> DataFrame:
+
+def references(feats: DataFrame) -> DataFrame:
+    """lang, __refs: of each language the shares of classes and common words as an array of one, and for the null language
+    an array of all."""
+    known = feats.filter(F.col("__lang").isNotNull())
+    sums = [F.sum(F.get("__classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
+    total = known.groupBy(F.col("__lang").alias("lang")).agg(F.sum("n_words").alias("n"), F.sum("n_chars").alias("m"), *sums).filter("n > 0 AND m > 0")
+    counts = known.select(F.col("__lang").alias("l"), F.explode("__common").alias("w", "c")).groupBy("l", "w").agg(F.sum("c").alias("c"))
+    listed = counts.groupBy("l").agg(F.sort_array(F.collect_list(F.struct("w", "c"))).alias("words"))  # COMMON at most
+    d = total.join(listed, F.col("lang") == F.col("l"), "left")
+    d = d.select("lang", F.array(*[F.col(f"c{i}") / F.col("m") for i in range(len(CLASSES))]).alias("classes"), F.expr("transform(coalesce(words, array()), x -> named_struct('w', x.w, 'q', x.c / n))").alias("words"))
+    d = d.withColumn("known", F.expr("least(1D, aggregate(words, 0D, (a, x) -> a + x.q))"))
+    d = d.select("lang", F.struct("lang", "classes", "words", "known", F.expr(f"{WORD_SHARE}D * {_bare}").alias("limit")).alias("r"))
+    own = shared.save(d, "references")
+    all_ = own.agg(F.array_sort(F.collect_list("r")).alias("__refs")).select(F.lit(None).cast("string").alias("lang"), "__refs")
+    return shared.save(own.select("lang", F.array("r").alias("__refs")).unionByName(all_), "references")
+
+
+def judge(feats: DataFrame, refs: DataFrame) -> DataFrame:
     """The rule's columns: distances to the reference, base_failed, kept."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    d = feats.withColumn("base_failed", failed)
-    if not refs:
-        return d.withColumn("char_distance", F.lit(None).cast("double")).withColumn("word_distance", F.lit(None).cast("double")).withColumn("kept", ~failed)
-    literals = {r["lang"]: _literal(r) for r in refs}
-    own = None
-    for lang, ref in literals.items():
-        own = F.when(F.col("__lang") == lang, F.array(ref)) if own is None else own.when(F.col("__lang") == lang, F.array(ref))
-    d = d.withColumn("__refs", own.otherwise(F.array(*literals.values())))
+    d = _beside(feats.withColumn("base_failed", failed), refs)
     chars = f"""sqrt(greatest(0D, 0.5D * aggregate(zip_with(__classes, r.classes, (c, q) -> {_term('(c / n_chars)', 'q')}), 0D, (a, x) -> a + x)))"""
-    q = "coalesce(try_element_at(r.words, x.w), 0D)"
-    seen = f"aggregate(__common, named_struct('j', 0D, 'p', 0D, 'q', 0D), (a, x) -> named_struct('j', a.j + {_term('(x.c / n_words)', q)}, 'p', a.p + x.c / n_words, 'q', a.q + {q}))"
-    d = d.withColumn("__seen", F.expr(f"IF(n_words > 0, transform(__refs, r -> named_struct('s', {seen}, 'known', r.known, 'limit', r.limit, 'c', {chars})), array())"))
-    words = f"sqrt(greatest(0D, 0.5D * (s.s.j + greatest(0D, s.known - s.s.q) + {_term('greatest(0D, 1 - s.s.p)', 'greatest(0D, 1 - s.known)')})))"
+    p = "(coalesce(try_element_at(__common, x.w), 0L) / n_words)"
+    seen = f"aggregate(r.words, named_struct('j', 0D, 'p', 0D), (a, x) -> named_struct('j', a.j + {_term(p, 'x.q')}, 'p', a.p + {p}))"
+    d = d.withColumn("__seen", F.expr(f"IF(n_words > 0, transform(coalesce(__refs, array()), r -> named_struct('s', {seen}, 'known', r.known, 'limit', r.limit, 'c', {chars})), array())"))
+    words = f"sqrt(greatest(0D, 0.5D * (s.s.j + {_term('greatest(0D, 1 - s.s.p)', 'greatest(0D, 1 - s.known)')})))"
     d = d.withColumn("__near", F.expr(f"array_min(transform(__seen, s -> named_struct('sum', s.c + {words}, 'c', s.c, 'w', {words}, 'limit', s.limit, 'known', s.known)))"))
     d = d.withColumn("char_distance", F.col("__near.c")).withColumn("word_distance", F.col("__near.w"))
     told = (F.col("n_words") >= GUARD_WORDS) & (F.coalesce(F.col("n_words") * F.col("__near.known"), F.lit(0.0)) >= GUARD_HITS)
@@ -152,25 +144,25 @@ def judge(feats: DataFrame, refs: list[dict]) -> DataFrame:
     return d.withColumn("kept", F.explode_outer(F.array(~F.col("base_failed") & ~far)))
 
 
-def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, char_distance, word_distance."""
-    words = common_words(df, text_col, lang_col)
-    feats = shared.save(features(df, words, id_col, text_col, lang_col).drop("__row"), "features")
-    out = judge(feats, references(feats, words))
+    feats = shared.save(features(df, common_words(df, text_col, lang_col), text_col, lang_col, F.col(id_col).alias("doc_id")), "features")
+    out = judge(feats, references(feats))
     return out.select("doc_id", "n_words", *COUNTS, "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
-def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_good(df: DataFrame, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """The rows that pass, with their own columns.
 
-    Features are made twice, once for the references and once beside each row, so that no text is shuffled. A generator
-    parts them from the judgement: its loops would else hold the features' expressions and compute them at every step.
+    The histograms are made twice, once for the references and once beside each row with the base counts, so that no text
+    is shuffled. A generator parts them from the judgement: its loops would else hold the features' expressions and
+    compute them at every step.
     """
-    words = common_words(df, text_col, lang_col)
-    small = shared.save(features(df, words, id_col, text_col, lang_col).drop("__row"), "features")
-    refs = references(small, words)
+    common = common_words(df, text_col, lang_col)
+    small = shared.save(shares(df, common, text_col, lang_col).select("__lang", "n_words", "n_chars", "__classes", "__common"), "shares")
+    refs = references(small)
     shared.drop(small)
-    feats = features(df, words, id_col, text_col, lang_col)
+    feats = features(df, common, text_col, lang_col, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
     feats = feats.select(F.explode_outer(F.array(F.struct(*feats.columns))).alias("f")).select("f.*")
     return judge(feats, refs).filter("kept").select("__row.*")
 
