@@ -158,11 +158,18 @@ def _rows(examples: Iterable[tuple[object, bytes, int]], id_type: pa.DataType, c
         yield from flush()
 
 
+def check(capacity: int, max_segments: int, max_loss: int) -> None:
+    if min(capacity, max_segments, max_loss) < 1:
+        raise ValueError("capacity, max_segments and max_loss must be at least 1")
+
+
 def pack_examples(df: DataFrame, id_col: str, ids_col: str, loss_col: str | None = None, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None) -> DataFrame:
     """Pack tokenized examples (ids: array of int). loss_col: how many tokens at the end bear loss; without it all do.
 
     Empty or null id lists take no place. Returns a row per piece.
     """
+    max_loss = capacity if max_loss is None else max_loss
+    check(capacity, max_segments, max_loss)
     loss = F.coalesce(F.col(loss_col).cast("long"), F.lit(0)) if loss_col else F.size(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))).cast("long")
     few = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids"), loss.alias("loss"))
 
@@ -171,7 +178,7 @@ def pack_examples(df: DataFrame, id_col: str, ids_col: str, loss_col: str | None
             for b in batches:
                 yield from ((k.as_py(), np.asarray(v.as_py(), dtype="<u4").tobytes(), n.as_py()) for k, v, n in zip(*b.columns))
 
-        yield from _rows(examples(), id_arrow, capacity, max_segments, max_loss or capacity)
+        yield from _rows(examples(), id_arrow, capacity, max_segments, max_loss)
 
     id_type = few.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -181,7 +188,9 @@ def pack_examples(df: DataFrame, id_col: str, ids_col: str, loss_col: str | None
 
 
 def pack_documents(df: DataFrame, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None) -> DataFrame:
-    """Tokenize whole texts, end each with end_id, and pack them. All tokens bear loss."""
+    """Tokenize whole texts, end each with end_id, and pack them. All tokens bear loss, so max_loss binds below capacity only."""
+    max_loss = capacity if max_loss is None else max_loss
+    check(capacity, max_segments, max_loss)
     path = path or tokens.default_path("byte_bpe_50k.json")
     bad = tokens.unreachable(path)
     end = int(end_id).to_bytes(4, "little")
@@ -200,7 +209,7 @@ def pack_documents(df: DataFrame, path: str | None = None, end_id: int = 0, id_c
                     ids = encode(v.as_py()) + end
                     yield k.as_py(), ids, len(ids) // 4
 
-        yield from _rows(examples(), id_arrow, capacity, max_segments, max_loss or capacity)
+        yield from _rows(examples(), id_arrow, capacity, max_segments, max_loss)
 
     return few.mapInArrow(run, f"doc_id {id_type.simpleString()}, {PIECES}")
 

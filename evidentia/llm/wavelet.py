@@ -15,6 +15,7 @@ text; empty tables make no file and no rows; other columns are ignored, whatever
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +23,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from evidentia.llm import shared, tokens
 
 BLOCK = 512
 #: A shard is closed at so many tokens.
 SHARD_TOKENS = 3_000_000
+#: Partitions whose shards' starts are summed in one task.
+SHARD_RUN = 1_000
 HEAD = "<4sQIB"
 
 
@@ -92,11 +96,11 @@ class Shard:
 
     def select(self, level: int, bit: int, k: int) -> int:
         """Place of the k-th (from 0) such bit of a plane."""
-        ones = self.ones[level].astype(np.int64)
-        before = ones if bit else np.arange(len(ones)) * BLOCK - ones
-        b = int(np.searchsorted(before, k, side="right")) - 1
+        ones = self.ones[level]
+        before = (lambda b: int(ones[b])) if bit else (lambda b: b * BLOCK - int(ones[b]))
+        b = bisect_right(range(len(ones)), k, key=before) - 1
         found = np.flatnonzero(np.unpackbits(self.bits[level][b * BLOCK // 8 : (b + 1) * BLOCK // 8], bitorder="little") == bit)
-        return b * BLOCK + int(found[k - int(before[b])])
+        return b * BLOCK + int(found[k - before(b)])
 
     def access(self, i: int) -> int:
         """The token at place i."""
@@ -137,6 +141,18 @@ class Shard:
             i = self.select(level, one, i - self.zeros[level] if one else i)
         return i
 
+    def places(self, token: int) -> np.ndarray:
+        """All places of a token. A frequent one goes up through whole planes, level by level, a rare one by select."""
+        lo, n = self._range(token, self.n)
+        if n * BLOCK < self.n:
+            return np.array(sorted(self.find(token, k) for k in range(n)), dtype=np.int64)
+        at = np.arange(lo, lo + n)
+        for level in range(len(self.zeros) - 1, -1, -1):
+            one = token >> (len(self.zeros) - 1 - level) & 1
+            where = np.flatnonzero(np.unpackbits(self.bits[level], count=self.n, bitorder="little") == one)
+            at = where[at - self.zeros[level] if one else at]
+        return np.sort(at)
+
     def tokens(self) -> np.ndarray:
         """All ids in order, from the planes upwards."""
         kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
@@ -160,9 +176,13 @@ class Store:
         return self.spark.read.format("binaryFile").option("pathGlobFilter", "*.ewm").load(self.path).select(F.regexp_extract("path", r"([^/]+)\.ewm$", 1).alias("shard"), "content")
 
     def _starts(self) -> DataFrame:
-        """Where each shard begins among all ids. One small row per shard meets in one task, no tokens do."""
-        before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        return self.manifest.select("shard", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("shard_start"))
+        """Where each shard begins among all ids. Sums are made within runs of SHARD_RUN partitions' shards, and then over
+        the runs, which are a row each."""
+        m = self.manifest.select("shard", "tokens", F.floor(F.substring("shard", 1, 8).cast("long") / SHARD_RUN).alias("run"))
+        runs = m.groupBy("run").agg(F.sum("tokens").alias("all"))
+        before = F.coalesce(F.sum("all").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        within = F.coalesce(F.sum("tokens").over(Window.partitionBy("run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return m.withColumn("within", within).join(runs.select("run", before.alias("before")), "run").select("shard", (F.col("before") + F.col("within")).alias("shard_start"))
 
     def _each(self, fn, schema: str) -> DataFrame:
         """Rows of fn(shard) for every file, with the shard's start."""
@@ -202,7 +222,7 @@ class Store:
         """place, doc_id: every place of an id among all ids."""
 
         def rows(s: Shard):
-            places = np.array([s.find(token, k) for k in range(s.count(token))], dtype=np.int64)
+            places = s.places(token)
             docs = np.searchsorted(s.starts, places, side="right") - 1
             yield [pa.array(places), pa.array([s.doc_ids[d] for d in docs], pa.int64())]
 
@@ -213,6 +233,8 @@ class Store:
 def write_documents(df: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", out: str | None = None) -> Store:
     """Encode whole texts, end each with end_id, and write shards in ascending order of the (integer) id column."""
     spark = df.sparkSession
+    if not isinstance(df.select(id_col).schema[0].dataType, IntegralType):
+        raise TypeError(f"column {id_col} must be of an integer type, as files are in its order and hold it as one")
     path = path or tokens.default_path("word_bpe_49k.json")
     bad, end, out = tokens.unreachable(path), int(end_id).to_bytes(4, "little"), out or shared.new_path(spark, "wavelet")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

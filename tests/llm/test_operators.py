@@ -112,6 +112,23 @@ def test_wavelet_matrix_round_trip(docs, none):
     assert wavelet.write_documents(none).documents().count() == 0
 
 
+def test_rows_without_ids(spark):
+    """Null ids stay null, in each operator that carries the id along; an id that isn't an integer is refused by the files."""
+    d = spark.createDataFrame([(None, "one two"), (None, None), (3, "one two")], "doc_id bigint, text string")
+    assert {(str(r["doc_id"]), r["doc_tokens"]) for r in packing.query(d).collect()} == {("3", 3), ("None", 1), ("None", 3)}
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in wordtable.encode_decode(d).collect()) == [("3", 2), ("None", 0), ("None", 2)]
+    assert [(r["doc_id"], r["start"]) for r in wavelet.write_documents(d).documents().orderBy("start").collect()] == [(None, 0), (None, 1), (3, 4)]
+    with pytest.raises(TypeError):
+        wavelet.write_documents(d.withColumn("doc_id", F.lit("a")))
+
+
+def test_packing_limits_are_checked(spark):
+    d = spark.createDataFrame([(1, [1, 2], 1)], "id int, ids array<int>, loss int")
+    for limits in ((0, 1, 1), (8, 0, 1), (8, 1, 0), (8, 1, -1)):
+        with pytest.raises(ValueError):
+            packing.pack_examples(d, "id", "ids", "loss", *limits)
+
+
 def test_wavelet_shard_answers():
     rng = np.random.default_rng(0)
     for n in (1, 511, 512, 513, 3000):
@@ -122,7 +139,9 @@ def test_wavelet_shard_answers():
             assert s.access(i) == x[i] and s.rank(int(x[i]), i) == (x[:i] == x[i]).sum()
         for t in map(int, x[:5]):
             assert [s.find(t, k) for k in range(s.count(t))] == np.flatnonzero(x == t).tolist()
-        assert s.count(60_000) == 0
+        for t in (0, 1, 5, int(x.max())):
+            assert s.places(t).tolist() == np.flatnonzero(x == t).tolist()
+        assert s.count(60_000) == 0 and len(s.places(60_000)) == 0
         with pytest.raises(IndexError):
             s.find(60_000, 0)
 
@@ -264,6 +283,45 @@ def test_embedding_links(spark):
     assert embeddings.near_duplicates(df.filter("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_recall_at_the_threshold(spark, monkeypatch, kind):
+    """Pairs of cosine 0.90 to 0.92 among many vectors: all found, none below, with tables of several bits."""
+    monkeypatch.setattr(embeddings, "BUCKET", 16)
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(700, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    d = rng.normal(size=a.shape)
+    d -= (d * a).sum(1, keepdims=True) * a
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    c = np.where(np.arange(len(a)) % 2, rng.uniform(0.9, 0.92, len(a)), rng.uniform(0.88, 0.8999, len(a)))[:, None]
+    x = np.vstack([a, a * c + d * np.sqrt(1 - c * c)])
+    if kind == "float":
+        x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], f"vec_id bigint, embedding array<{kind}>")
+    n = np.linalg.norm(x, axis=1)
+    near = (x @ x.T) / (n[:, None] * n) >= 0.9
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.998 * near.sum() and near.sum() >= 700
+
+
+def test_embedding_plan():
+    """Tables and bits for far more rows than here; what a pair at the threshold may differ in is rarely exceeded."""
+    for n in (10, 10**5, 10**8, 10**10):
+        bits, tables, most = embeddings.plan(n, 0.9)
+        assert bits <= 31 and 60 < most < 100 and embeddings.choices(bits, tables).shape == (tables, bits)
+        assert all(len(set(t)) == bits for t in embeddings.choices(bits, tables).tolist())
+
+
+def test_embedding_odd_rows(spark):
+    """Repeated ids with other vectors, ids that are null, vectors of several lengths."""
+    one, two = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0, 0.5]
+    rows = [(1, one), (1, two), (2, one), (3, two), (4, [x * 2 for x in two]), (None, one), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 2.0])]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (2, 2, 1), (None, 2, 1), (1, 2, 1), (3, 2, 1), (4, 2, 1), (None, 1, None), (None, 1, None)], key=str)
+
+
 def test_embedding_chunks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CHUNK", 16)
     x = np.vstack([np.random.default_rng(4).normal(size=(30, 8)), np.ones((60, 8)) + np.random.default_rng(5).normal(size=(60, 8)) * 0.05])
@@ -303,8 +361,8 @@ def test_quality_common_words(spark):
     bare = ". ".join(" ".join(strange[i : i + 8]).capitalize() for i in range(0, 400, 8))
     piped = " ".join(w + (" |" if i % 12 == 0 else "") for i, w in enumerate(strange)).capitalize()
     odd = spark.createDataFrame([(200_000, bare, "en"), (200_001, piped, "en"), (200_002, bare, None)], d.schema)
-    words = quality.common_words(d, "text", "lang")
-    assert words and all(re.search(r"[^\W\d_]", w) for w in words)
+    words = {r["lang"]: r["__list"] for r in quality.common_words(d, "text", "lang").collect()}
+    assert set(words) == {"en", "de", "fr", "es", None} and all(re.search(r"[^\W\d_]", w) for x in words.values() for w in x)
     got = {r["doc_id"]: r for r in quality.quality(d.union(wrong).union(odd)).collect()}
     kept = [got[r["doc_id"]]["kept"] for r in good.collect()]
     far = [not r["kept"] for k, r in got.items() if 100_000 <= k < 200_000 and not r["base_failed"]]
@@ -314,6 +372,62 @@ def test_quality_common_words(spark):
     assert {r["doc_id"] for r in quality.keep_good(d.union(wrong).union(odd)).collect()} == {k for k, r in got.items() if r["kept"]}
 
 
+def js_distance(p, q):
+    half = [(a + b) / 2 for a, b in zip(p, q)]
+    kl = lambda x: sum(a * np.log2(a / m) for a, m in zip(x, half) if a > 0)
+    return np.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def test_quality_equals_brute_force(spark):
+    """Distances and verdicts, computed anew from the rule's text: also unlabelled documents and more languages."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    more = [(900, "supercalifragilistic wordswithmanyletters " * 60, "xx"), (901, "eins zwei drei " * 40, None), (902, "", "yy"), (903, None, None)]
+    d = d.withColumn("lang", F.when(F.col("doc_id") % 10 != 3, F.col("lang"))).union(spark.createDataFrame(more, d.schema))
+    rows = [(r["doc_id"], r["text"] or "", r["lang"]) for r in d.collect()]
+    sets = [set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("0123456789"), set(".,;:!?'\"()-"), set("#*$%&|<>"), set(" \t\n\r\x0b\x0c")]
+
+    def classes(t):
+        n = [sum(c in x for c in t) for x in sets]
+        wide = sum(ord(c) > 127 for c in t)
+        return [*n, wide, len(t) - sum(n) - wide]
+
+    by: dict = {}
+    for _, t, lang in rows:
+        if lang is not None:
+            by.setdefault(lang, []).append(t)
+    refs = {}
+    for lang, texts in by.items():
+        words = [w.lower() for t in texts for w in WORD.findall(t)]
+        if words:
+            counts: dict = {}
+            for w in words:
+                counts[w] = counts.get(w, 0) + 1
+            top = sorted((w for w in counts if re.search(r"[^\W\d_]", w)), key=lambda w: (-counts[w], w))[: quality.COMMON]
+            total = np.sum([classes(t) for t in texts], 0)
+            refs[lang] = (top, [counts[w] / len(words) for w in top], total / total.sum())
+    got = {r["doc_id"]: r for r in quality.quality(d).collect()}
+    assert len(got) == len(rows) and "xx" in refs
+    for k, t, lang in rows:
+        words = [w.lower() for w in WORD.findall(t)]
+        best = None
+        for top, q, shape in (refs.values() if lang is None else [refs[lang]] if lang in refs else []):
+            if not words:
+                break
+            p = [words.count(w) / len(words) for w in top]
+            c = js_distance(np.array(classes(t)) / len(t), shape)
+            w = js_distance([*p, 1 - sum(p)], [*q, 1 - sum(q)])
+            limit = quality.WORD_SHARE * js_distance([*[0] * len(q), 1], [*q, 1 - sum(q)])
+            if best is None or c + w < best[0] + best[1] - 1e-12:
+                best = (c, w, limit, sum(q))
+        r = got[k]
+        if best is None:
+            assert r["char_distance"] is None and not r["kept"]
+            continue
+        assert abs(r["char_distance"] - best[0]) < 2e-6 and abs(r["word_distance"] - best[1]) < 2e-6, k
+        far = len(t) >= 200 and best[0] > quality.MAX_CHAR_DISTANCE or len(words) >= 50 and len(words) * best[3] >= 5 and best[1] > best[2]
+        assert r["kept"] == (not r["base_failed"] and not far)
+
+
 def test_language_held_out_accuracy(spark, docs, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     net = language.learn(d.filter(~language.held_out()))
@@ -325,6 +439,40 @@ def test_language_held_out_accuracy(spark, docs, none):
     assert {r["lang_pred"] for r in language.predict(docs, None).collect()} == {"und"}
 
 
+def test_language_network_by_hand():
+    """The rearranged convolution equals one written out place by place."""
+    rng = np.random.default_rng(3)
+    net = language.Network(["a", "b", "c"])
+    net.shift[:] = rng.normal(size=net.shift.shape)
+    net.bias[:] = rng.normal(size=3)
+    x = rng.integers(1, 256, (5, language.WINDOW)).astype(np.uint8)
+    x[1, 40:] = 0
+    x[2, 250:] = 0
+    got = net.probabilities(x)
+    for row, p in zip(x, got):
+        e = np.concatenate([net.embed[row], np.zeros((language.SPAN, language.EMBED), np.float32)])
+        feats = []
+        for k, w in enumerate(language.WIDTHS):
+            for f in range(k * language.FILTERS, (k + 1) * language.FILTERS):
+                kernel = net.filters[:, f].reshape(language.SPAN, language.EMBED)[:w]
+                best = max(float((e[i : i + w] * kernel).sum()) for i in range(language.WINDOW))
+                feats.append(max(0.0, best + float(net.shift[f])))
+        z = np.array(feats) @ net.dense + net.bias
+        z = np.exp(z - z.max())
+        assert np.allclose(p, z / z.sum(), atol=1e-4)
+
+
+def test_language_many_languages(spark, monkeypatch):
+    """More languages than the sample's bound has room for are all learned; a row without an id is predicted."""
+    monkeypatch.setattr(language, "TRAIN_TOTAL", 600)
+    rows = [(k, f"{chr(97 + k % 300 // 26)}{chr(97 + k % 26)}" * 40, f"l{k % 300}") for k in range(1200)]
+    d = spark.createDataFrame([*rows, (None, "aa" * 40, None)], "doc_id bigint, text string, lang string")
+    net = language.learn(d)
+    assert len(net.languages) >= 250
+    got = language.predict(d, net).select("doc_id", language.held_out().alias("h"), "lang_pred").filter("doc_id IS NULL").collect()
+    assert [(r["h"], r["lang_pred"] in net.languages) for r in got] == [(False, True)]
+
+
 def test_html_cases(spark):
     page = "<html><head><title>x</title></head><body><header>Site name</header><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>T</h1><p>A &lt;b&gt; x&nbsp; y<br>z</p><script>var t='</p>'</script><form>Your name</form><section class=comments><p>I liked this article very much, thank you all.</p></section></article><aside>More</aside><footer>&copy; 2024 Site</footer>"
     rows = [(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (4, "u", "<p", "x"), (1, "u", page, "x"), (5, "u", "<article><p>" + "word " * 50_000, "x")]
@@ -374,15 +522,28 @@ def test_ngram_cases(docs, none):
     assert all(r["score"] is None or r["score"] <= 0 for r in ngrams.ngram_scores(docs, order=3).collect())
 
 
-def test_url_filter_cases(spark):
-    at = lambda s: F.to_timestamp(F.lit(s))
-    rows = [(1, "http://a.example.com/x/y", "2024-01-05"), (2, "HTTP://A.Example.com/x?q", "2024-01-10"), (3, "http://b.example.com/", "2024-01-05"), (4, None, "2024-01-05"), (5, "nonsense", "2024-01-05"), (6, "http://a.example.com/x/y", None), (1, "http://a.example.com/x/y", "2024-01-05")]
-    cap = spark.createDataFrame(rows, "id int, url string, d string").withColumn("t", F.to_timestamp("d"))
-    ent = [("domain", "example.com", "c1", "add", "2024-01-01"), ("domain", "example.com", "c1", "add", "2024-01-02"), ("domain", "example.com", "c1", "remove", "2024-01-10"), ("host", "a.example.com", "c2", "add", "2024-01-10"), ("prefix", "a.example.com/x", "c3", "add", "2024-01-05"), ("host", None, "c4", "add", "2024-01-01"), ("host", "b.example.com", "c5", "odd", "2024-01-01")]
-    e = spark.createDataFrame(ent, "kind string, key string, category string, action string, d string").withColumn("at", F.to_timestamp("d"))
-    got = sorted((r["id"], r["n_active"], r["reason"]) for r in urlfilter.judge(cap, e, "id", "url", "t").collect())
-    assert got == [(1, 2, "c1,c3"), (1, 2, "c1,c3"), (2, 2, "c2,c3"), (3, 1, "c1"), (4, 0, None), (5, 0, None), (6, 0, None)]
-    assert not any(r["blocked"] for r in urlfilter.judge(cap, e.filter("kind = 'x'"), "id", "url", "t").collect()) and at
+URL_ENTRIES = [("domain", "example.com", "c1", "add", "2024-01-01"), ("domain", "example.com", "c1", "add", "2024-01-02"), ("domain", "Example.com", "c1", "remove", "2024-01-10"), ("host", "a.example.com", "c2", "add", "2024-01-10"), ("prefix", "A.example.com/x", "c3", "add", "2024-01-05"), ("prefix", "s.org/Secret/", "c6", "add", "2024-01-05"), ("host", None, "c4", "add", "2024-01-01"), ("prefix", None, "c4", "add", "2024-01-01"), ("host", "b.example.com", "c5", "odd", "2024-01-01")]
+
+
+@pytest.mark.parametrize("few", [1000, 0])
+def test_url_filter_cases(spark, few):
+    """Also with the list too long to be broadcast."""
+    rows = [(1, "http://a.example.com/x/y", "2024-01-05"), (2, "HTTP://A.Example.com/x?q", "2024-01-10"), (3, "http://b.example.com/", "2024-01-05"), (4, None, "2024-01-05"), (5, "nonsense", "2024-01-05"), (6, "http://a.example.com/x/y", None), (1, "http://a.example.com/x/y", "2024-01-05"), (7, "http://a.example.com/X/y", "2024-01-05"), (8, "http://a.example.com/xy", "2024-01-05"), (9, "http://s.org/Secret//a", "2024-01-05"), (10, "http://s.org/secret//a", "2024-01-05")]
+    cap = spark.createDataFrame(rows, "id int, url string, d string").withColumn("t", F.to_timestamp("d")).withColumns({"kind": F.lit("x"), "key": F.lit("x"), "host": F.lit("x"), "n_active": F.lit(7)})
+    e = spark.createDataFrame(URL_ENTRIES, "kind string, key string, category string, action string, d string").withColumn("at", F.to_timestamp("d"))
+    got = sorted((r["id"], r["n_active"], r["reason"]) for r in urlfilter.judge(cap, e, "id", "url", "t", few).collect())
+    assert got == [(1, 2, "c1,c3"), (1, 2, "c1,c3"), (2, 2, "c2,c3"), (3, 1, "c1"), (4, 0, None), (5, 0, None), (6, 0, None), (7, 1, "c1"), (8, 1, "c1"), (9, 1, "c6"), (10, 0, None)]
+    assert not any(r["blocked"] for r in urlfilter.judge(cap, e.filter("kind = 'x'"), "id", "url", "t", few).collect())
+    assert urlfilter.judge(cap.filter("id < 0"), e, "id", "url", "t", few).count() == 0
+
+
+def test_url_filter_long_urls(spark):
+    rows = [(1, "http://a.example.com/x" + "/y" * 500_000), (2, "http://a.example.com/x/" + "z" * 1_000_000), (3, "http://" + "a." * 200 + "example.com/x")]
+    cap = spark.createDataFrame(rows, "id int, url string").withColumn("t", F.to_timestamp(F.lit("2024-01-06")))
+    e = spark.createDataFrame(URL_ENTRIES, "kind string, key string, category string, action string, d string").withColumn("at", F.to_timestamp("d"))
+    began = time.monotonic()
+    assert sorted((r["id"], r["reason"]) for r in urlfilter.judge(cap, e, "id", "url", "t").collect()) == [(1, "c1,c3"), (2, "c1,c3"), (3, "c1")]
+    assert time.monotonic() - began < 30
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
