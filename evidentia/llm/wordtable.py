@@ -34,6 +34,8 @@ from evidentia.llm import tokens
 
 #: Text bytes of a block; input bytes for which there is one bucket of words, and the fewest buckets.
 BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 16_000_000, 16_000_000, 64
+#: Documents of a batch whose words are unpacked at once.
+SLICE = 64
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -56,13 +58,16 @@ class Index(dict):
 
 
 def lists(column: pa.ListArray) -> Iterator[list[str]]:
-    """The lists of words of a batch."""
-    flat, ends = column.flatten().to_pylist(), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-    return (flat[i:j] for i, j in zip([0, *ends], ends))
+    """The lists of words of a batch; few documents' words are Python objects at once."""
+    for at in range(0, len(column), SLICE):
+        part = column.slice(at, SLICE)
+        flat, ends = part.flatten().to_pylist(), np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        yield from (flat[i:j] for i, j in zip([0, *ends], ends))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list, list[array], list[str]]]:
-    """batches: id, words. Gives block id, documents' ids, their words as places, the distinct words."""
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, split=None) -> Iterator[tuple[int, list, list[array], list[str]]]:
+    """batches: id, and words, or texts for ``split``. Gives block id, documents' ids, their words as places, the distinct
+    words."""
     part, k = TaskContext.get().partitionId(), 0
     ids, places, index, size = [], [], Index(), 0
 
@@ -74,7 +79,7 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
         return seal.intdigest() - (1 << 63), ids, places, words
 
     for b in batches:
-        for doc, words in zip(b.column(0), lists(b.column(1))):
+        for doc, words in zip(b.column(0), lists(b.column(1)) if split is None else (split(t.as_py()) for t in b.column(1))):
             ids.append(doc.as_py())
             places.append(array("I", map(index.__getitem__, words)))
             size += sum(map(len, words)) + len(words)
