@@ -20,13 +20,15 @@ count for one another; an empty table gives no rows; columns with clashing names
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -36,12 +38,16 @@ from evidentia.llm.wordtable import BUCKET_BYTES, LEAST_BUCKETS, blocks, pack, s
 ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
 #: Text bytes of a block. Its n-grams are held as arrays of 64-bit numbers, so it is smaller than elsewhere.
 GRAM_BLOCK_BYTES = 5_000_000
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: A place among a block's n-grams of a part and a total, in one number.
 TOTAL_BITS = 40
 
 
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower()) if text else []
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of an n-gram from its first words' hash and its last word's."""
     x = (a * K1) ^ ((b << np.uint64(31)) | (b >> np.uint64(33)))
@@ -86,23 +92,37 @@ class Grams:
         return dict(zip(used.tolist(), np.split(order, first[1:])))
 
 
+@contextmanager
+def within_parts(spark: SparkSession):
+    """Joins on more columns than the input is dealt by need no further shuffle; for the jobs that run meanwhile."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def totals(asked: DataFrame) -> DataFrame:
     """asked: block, bucket, keys, counts. Gives block, bucket, more: place and total of its n-grams that others have too.
 
-    The one shuffle is by bucket, which an n-gram belongs to; its explosion, count and way back stay within the part.
+    The one shuffle is by bucket, which an n-gram belongs to. Both the count table, without n-grams of one block alone,
+    and its join to the exploded n-grams stay within the part.
     """
     rows = asked.repartition("bucket").select("block", "bucket", F.posexplode(F.arrays_zip("keys", "counts")).alias("pos", "x"))
-    rows = rows.select("block", "bucket", "pos", F.col("x.keys").alias("gram"), F.col("x.counts").cast("long").alias("n"))
-    counted = rows.withColumn("total", F.sum("n").over(Window.partitionBy("gram", "bucket"))).filter("total > n")
+    rows = rows.select("block", "bucket", "pos", F.col("x.keys").alias("gram"), F.col("x.counts").alias("n"))
+    # both sides read the same columns, so that they share the shuffle
+    counts = rows.groupBy("bucket", "gram").agg(F.sum("n").alias("total"), F.min("block").alias("a"), F.max("block").alias("b"))
+    table = counts.filter("a <> b").drop("a", "b")
     packed = F.shiftleft(F.col("pos").cast("long"), TOTAL_BITS) + F.col("total")
-    return counted.groupBy("block", "bucket").agg(F.collect_list(packed).alias("more"))
+    return rows.join(table.hint("shuffle_hash"), ["bucket", "gram"]).filter("total > n").groupBy("block", "bucket").agg(F.collect_list(packed).alias("more"))
 
 
 def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_backoff (words whose full n-gram is found nowhere else), score."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
-    few = df.select(F.col(id_col).alias("doc_id"), words.alias("words"))
-    buckets = max(LEAST_BUCKETS, size_of(df.select(id_col, text_col)) // BUCKET_BYTES)
+    few = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    buckets = max(LEAST_BUCKETS, size_of(few) // BUCKET_BYTES)
     id_type = few.schema["doc_id"].dataType
     id_arrow = to_arrow_type(id_type)
 
@@ -110,7 +130,7 @@ def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text
         return np.array([xxhash.xxh64_intdigest(w) for w in (x.encode("utf-8", "surrogatepass") for x in distinct)], dtype=np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, places, distinct in blocks(batches, GRAM_BLOCK_BYTES):
+        for block, _, places, distinct in blocks(batches, GRAM_BLOCK_BYTES, words_of):
             g = Grams([np.array(p, np.int64) for p in places], hashed(distinct), order)
             for bucket, some in g.parts(buckets).items():
                 ends = pa.array([0, len(some)], pa.int32())
@@ -118,7 +138,7 @@ def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket]), pa.ListArray.from_arrays(ends, keys), pa.ListArray.from_arrays(ends, counts)], ["block", "bucket", "keys", "counts"])
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, places, distinct in blocks(batches, GRAM_BLOCK_BYTES):
+        for block, ids, places, distinct in blocks(batches, GRAM_BLOCK_BYTES, words_of):
             lengths, flat = pack(np.array([len(p) for p in places])), pack(np.fromiter((x for p in places for x in p), np.uint32))
             data = pa.record_batch([pa.array([lengths], pa.binary()), pa.array([flat], pa.binary()), pa.array([hashed(distinct).astype("<u8").tobytes()], pa.binary()), pa.array([ids], pa.list_(id_arrow))], ["lengths", "flat", "hashes", "ids"])
             sink = pa.BufferOutputStream()
@@ -166,7 +186,9 @@ def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text
 
     answered = totals(few.mapInArrow(ask, "block long, bucket long, keys array<long>, counts array<int>"))
     both = few.mapInArrow(positions, "block long, bucket long, more array<long>, docs binary").unionByName(answered.withColumn("docs", F.lit(None).cast("binary")))
-    got = shared.save(both.groupBy("block").applyInArrow(score, f"doc_id {id_type.simpleString()}, n_words long, n_backoff long, n_unigram long, logs double"), "ngram-scores")
+    scored = both.groupBy("block").applyInArrow(score, f"doc_id {id_type.simpleString()}, n_words long, n_backoff long, n_unigram long, logs double")
+    with within_parts(df.sparkSession):
+        got = shared.save(scored, "ngram-scores")
     total = got.agg(F.sum("n_words")).first()[0] or 0
     others = F.greatest(F.lit(1), F.lit(total) - F.col("n_words"))
     return got.select("doc_id", "n_words", "n_backoff", F.when(F.col("n_words") > 0, (F.col("logs") - F.col("n_unigram") * F.ln(others)) / F.col("n_words")).alias("score"))
