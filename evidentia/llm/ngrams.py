@@ -40,6 +40,8 @@ ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
 GRAM_BLOCK_BYTES = 5_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Buckets for each part, so that parts are about even.
+BUCKETS_EACH = 4
 #: A place among a block's n-grams of a part and a total, in one number.
 TOTAL_BITS = 40
 
@@ -104,13 +106,13 @@ def within_parts(spark: SparkSession):
         spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
-def totals(asked: DataFrame) -> DataFrame:
+def totals(asked: DataFrame, parts: int) -> DataFrame:
     """asked: block, bucket, keys, counts. Gives block, bucket, more: place and total of its n-grams that others have too.
 
     The one shuffle is by bucket, which an n-gram belongs to. Both the count table, without n-grams of one block alone,
     and its join to the exploded n-grams stay within the part.
     """
-    rows = asked.repartition("bucket").select("block", "bucket", F.posexplode(F.arrays_zip("keys", "counts")).alias("pos", "x"))
+    rows = asked.repartition(parts, "bucket").select("block", "bucket", F.posexplode(F.arrays_zip("keys", "counts")).alias("pos", "x"))
     rows = rows.select("block", "bucket", "pos", F.col("x.keys").alias("gram"), F.col("x.counts").alias("n"))
     # both sides read the same columns, so that they share the shuffle
     counts = rows.groupBy("bucket", "gram").agg(F.sum("n").alias("total"), F.min("block").alias("a"), F.max("block").alias("b"))
@@ -122,7 +124,8 @@ def totals(asked: DataFrame) -> DataFrame:
 def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_backoff (words whose full n-gram is found nowhere else), score."""
     few = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = max(LEAST_BUCKETS, size_of(few) // BUCKET_BYTES)
+    parts = max(LEAST_BUCKETS, size_of(few) // BUCKET_BYTES)
+    buckets = parts * BUCKETS_EACH
     id_type = few.schema["doc_id"].dataType
     id_arrow = to_arrow_type(id_type)
 
@@ -155,11 +158,11 @@ def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text
         lengths, flat = unpack(data["lengths"]).astype(np.int64), unpack(data["flat"]).astype(np.int64)
         places = np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else []
         g = Grams(places, np.frombuffer(data["hashes"], "<u8"), order)
-        total, parts = g.counts.astype(np.int64), g.parts(buckets)
+        total, dealt = g.counts.astype(np.int64), g.parts(buckets)
         for bucket, more in zip(group.column("bucket").to_pylist(), group.column("more")):
             if more.is_valid:
                 packed = more.values.to_numpy()
-                total[parts[bucket][packed >> TOTAL_BITS]] = packed & (1 << TOTAL_BITS) - 1
+                total[dealt[bucket][packed >> TOTAL_BITS]] = packed & (1 << TOTAL_BITS) - 1
         left = []  # for each order, at each place: how often the n-gram ending there stands in other documents
         for n in range(order):
             x = np.zeros(len(flat), np.int64)
@@ -184,7 +187,7 @@ def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text
         sums = np.bincount(g.doc, logs, m)
         return pa.table({"doc_id": pa.array(data["ids"], id_arrow), "n_words": pa.array(lengths), "n_backoff": pa.array(np.bincount(g.doc, backed, m).astype(np.int64)), "n_unigram": pa.array(np.bincount(g.doc, unigram, m).astype(np.int64)), "logs": pa.array(sums)})
 
-    answered = totals(few.mapInArrow(ask, "block long, bucket long, keys array<long>, counts array<int>"))
+    answered = totals(few.mapInArrow(ask, "block long, bucket long, keys array<long>, counts array<int>"), parts)
     both = few.mapInArrow(positions, "block long, bucket long, more array<long>, docs binary").unionByName(answered.withColumn("docs", F.lit(None).cast("binary")))
     scored = both.groupBy("block").applyInArrow(score, f"doc_id {id_type.simpleString()}, n_words long, n_backoff long, n_unigram long, logs double")
     with within_parts(df.sparkSession):
