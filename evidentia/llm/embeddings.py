@@ -229,3 +229,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors of all labels."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP1_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
+g AS (SELECT vec_id, v, sqrt(list_sum([x * x FOR x IN v])) AS n FROM e WHERE v IS NOT NULL AND len(v) > 0 AND len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""

@@ -170,3 +170,34 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str | None = "lan
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, judged."""
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _js(p: str, q: str) -> str:
+    """Twice a bin's share of the divergence, in DuckDB's SQL."""
+    return f"(CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END)"
+
+
+_COUNT = lambda pattern: f"length(regexp_replace(t, '{pattern}', '', 'g'))"
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT *, len(w) AS n_words, length(t) AS n_chars, {_COUNT(r'[\x20\x09-\x0D]')} AS word_chars, {_COUNT('[^#*$%&|<>]')} AS n_symbols, {_COUNT('[^A-Z]')} AS up, {_COUNT('[^0-9]')} AS dig,
+  {_COUNT(r"[^.,;:!?''" + '"' + r"()\-]")} AS pun, {_COUNT(r'[\x00-\x7F]')} AS wide, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
+h AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM b WHERE len(w) >= 8)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM h) WHERE c > 1) GROUP BY 1),
+f AS (SELECT b.*, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, [up, dig, pun, n_symbols, n_chars - word_chars, wide, word_chars - up - dig - pun - n_symbols - wide] AS cl FROM b LEFT JOIN rep USING (doc_id)),
+wd AS (SELECT doc_id, lang, lower(unnest(w)) AS x FROM d), wc AS (SELECT lang, x, count(*) AS c FROM wd WHERE lang IS NOT NULL GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, x) AS k FROM wc WHERE regexp_matches(x, '\p{{L}}')) WHERE k <= {COMMON}),
+tot AS (SELECT lang, sum(n_words) AS n, sum(n_chars) AS m, [{', '.join(f'sum(cl[{i}])' for i in range(1, 8))}] AS cs FROM f WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) > 0 AND sum(n_chars) > 0),
+ref AS (SELECT tot.lang AS l, [c / m FOR c IN cs] AS qs, coalesce(sum(c / n) FILTER (WHERE c IS NOT NULL), 0) AS known FROM tot LEFT JOIN top ON top.lang = tot.lang GROUP BY tot.lang, cs, m),
+pr AS (SELECT f.doc_id, l, known, n_words, n_chars, cl, qs FROM f JOIN ref ON f.lang = l OR f.lang IS NULL WHERE n_words > 0),
+dc AS (SELECT doc_id, x, count(*) AS c FROM wd GROUP BY ALL),
+pw AS (SELECT pr.doc_id, pr.l, coalesce(dc.c, 0) / pr.n_words AS p, top.c / tot.n AS q FROM pr JOIN top ON top.lang = pr.l JOIN tot ON tot.lang = pr.l LEFT JOIN dc ON dc.doc_id = pr.doc_id AND dc.x = top.x),
+ws AS (SELECT doc_id, l, sum({_js('p', 'q')}) AS j, sum(p) AS p FROM pw GROUP BY ALL),
+di AS (SELECT pr.doc_id, known, sqrt(greatest(0, 0.5 * (coalesce(j, 0) + {_js('greatest(0, 1 - coalesce(ws.p, 0))', 'greatest(0, 1 - known)')}))) AS wdist,
+  sqrt(greatest(0, 0.5 * list_sum([{_js('(cl[i] / n_chars)', 'qs[i]')} FOR i IN range(1, 8)]))) AS cdist FROM pr LEFT JOIN ws ON ws.doc_id = pr.doc_id AND ws.l = pr.l),
+ne AS (SELECT doc_id, arg_min({{'c': cdist, 'w': wdist, 'known': known}}, cdist + wdist) AS x FROM di GROUP BY doc_id),
+v AS (SELECT f.*, x, x.known AS known, n_words < {LEAST_WORDS} OR {REPEAT_WINDOW - 7} * 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM f LEFT JOIN ne USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(x.c, 6) AS char_distance, round(x.w, 6) AS word_distance,
+NOT base_failed AND NOT (n_chars >= {GUARD_CHARS} AND coalesce(x.c, 0) > {MAX_CHAR_DISTANCE} OR n_words >= {GUARD_WORDS} AND coalesce(n_words * known, 0) >= {GUARD_HITS}
+  AND coalesce(x.w > {WORD_SHARE} * sqrt(greatest(0, 0.5 * (known + {_js('1', 'greatest(0, 1 - known)')}))), false)) AS kept FROM v
+"""
