@@ -48,16 +48,20 @@ def with_spans(df: DataFrame, counts: str, max_words: int, overlap: int) -> Data
 
 
 def passages(sentences: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
-    """Passages of each (document, page, block); they never cross it. One row per passage with its sentence ids."""
-    one = F.struct(F.col("block_sentence_index").alias("i"), F.col("display_id").alias("id"), trim("source_text").alias("t"), F.col("source_word_count").alias("n"))
+    """Passages of each (document, page, block); they never cross it. One row per passage with its sentence ids, the places
+    of its first and last sentence on the page, and its normalised text where the sentences have one."""
+    normal = "normalized_text" if "normalized_text" in sentences.columns else "source_text"
+    one = F.struct(F.col("block_sentence_index").alias("i"), F.col("display_id").alias("id"), trim("source_text").alias("t"), trim(normal).alias("m"), F.col("source_word_count").alias("n"), F.col("page_sentence_index").alias("at"))
     grouped = sentences.groupBy("document_id", "page_index", "logical_block_index").agg(F.array_sort(F.collect_list(one)).alias("s"))
     counted = grouped.withColumn("counts", F.transform("s", lambda x: x["n"]))
     cut = with_spans(counted, "counts", max_words, overlap).select("document_id", "page_index", "logical_block_index", "s", F.posexplode("spans").alias("pos", "span"))
     part = F.slice("s", F.col("span.a") + 1, F.col("span.b") - F.col("span.a"))
-    out = cut.select("document_id", "page_index", "logical_block_index", F.col("pos").cast("long").alias("block_passage_index"), F.transform(part, lambda x: x["id"]).alias("sentence_ids"), F.array_join(F.transform(part, lambda x: x["t"]), " ").alias("source_text"))
+    text = lambda c: F.array_join(F.transform("part", lambda x: x[c]), " ")
+    out = cut.select("document_id", "page_index", "logical_block_index", F.col("pos").cast("long").alias("block_passage_index"), part.alias("part"))
+    out = out.withColumns({"sentence_ids": F.transform("part", lambda x: x["id"]), "source_text": text("t"), "normalized_text": text("m"), "first_sentence": F.element_at("part", 1)["at"], "last_sentence": F.element_at("part", -1)["at"]})
     return out.select(
         F.format_string("%s:p%04d:lb%04d:c%03d", F.col("document_id").cast("string"), F.col("page_index") + 1, F.col("logical_block_index"), F.col("block_passage_index")).alias("display_id"),
-        "document_id", "page_index", "logical_block_index", "block_passage_index", "sentence_ids", "source_text",
+        "document_id", "page_index", "logical_block_index", "block_passage_index", "sentence_ids", "source_text", "normalized_text", "first_sentence", "last_sentence",
         word_count("source_text").alias("word_count"), F.size("sentence_ids").cast("long").alias("sentence_count"), (word_count("source_text") >= LEAST_WORDS).alias("retrieval_eligible"),
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +33,8 @@ HEADINGS = (
     ("funding", r"funding\s+information"),
 )
 SYMBOLS, DASHES = "■▪◆●□▸►", "\\-–—:"
+#: A heading counts at the passage's start (after symbols, dashes and a section number), after a structural
+#: symbol, or as the last words of the passage after a sentence's end.
 #: Placements, in the order in which they are tried for each heading: group 1 is what stands before it, 2 the heading.
 PLACEMENTS = (
     ("passage_start", rf"(?i)^(\s*[{SYMBOLS}{DASHES}]*\s*(?:(?:\d+(?:\.\d+)*|[IVXLCDM]+)[.)]?\s+)?)(%s)\s*[:.\-–—]?(?:\s|$)"),
@@ -61,6 +61,7 @@ def terminal_heading(text: Column | str) -> Column:
     return F.get(F.transform(F.array(t), hit), F.lit(0))  # within a lambda the many tries are not compiled into one method
 
 
+#: A year from 1800 to 2099, a DOI, "et al.", and a line that begins with a number in brackets or with a point.
 YEAR, DOI, ET_AL = r"(?i)\b(?:18|19|20)\d{2}[a-z]?\b", r"(?i)\bdoi\s*:|\b10\.\d{4,9}/", r"(?i)\bet\s+al\."
 NUMBERED = r"^\s*(?:\[\s*\d+\s*\]|\d{1,4}[.)])\s+"
 
@@ -134,7 +135,3 @@ def report(classified: DataFrame) -> DataFrame:
     """Per document: passages, end matter, eligible passages."""
     count = lambda c: F.count_if(c).cast("long")
     return classified.groupBy("document_id").agg(F.count(F.lit(1)).alias("passages"), count(F.col("content_type") == "end_matter").alias("end_matter"), count(F.col("retrieval_eligible")).alias("eligible"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import TERM, fold
+from evidentia.functions.text import MARKED, PLAIN, TERM, fold
 
 SMALL_NORM = 1e-12
 DIMENSIONS = 64
-#: Queries that one pass over the vectors answers; more go in several passes.
-QUERIES_AT_ONCE = 2_000
+#: Vectors that a block of queries, and of the searched table, has at most.
+QUERY_BLOCK, VECTOR_BLOCK = 1_000, 10_000
 
 
 def norm(v: Column) -> Column:
@@ -29,11 +32,44 @@ def normalize(v: Column) -> Column:
 
 
 class Embedder(Protocol):
-    """Any object with a name and a column of vectors for a column of texts."""
+    """Any object with a name that encodes texts as rows of a matrix. It is copied to each task."""
 
     name: str
 
-    def embed(self, text: Column) -> Column: ...
+    def encode(self, texts: list[str]) -> np.ndarray: ...
+
+
+class BadVectors(ValueError):
+    """An embedder gave another number of rows than texts, rows of another length, or numbers that aren't finite."""
+
+
+def checked(matrix, texts: int, dimension: int | None = None) -> np.ndarray:
+    """Unit rows of an embedder's matrix; rows of (nearly) no length become zero."""
+    m = np.asarray(matrix, dtype=float)
+    if m.ndim != 2 or len(m) != texts or dimension is not None and m.shape[1] != dimension:
+        raise BadVectors(f"wanted {texts} rows{'' if dimension is None else f' of {dimension}'}, got {m.shape}")
+    if not np.isfinite(m).all():
+        raise BadVectors("a vector isn't finite")
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.where(n <= SMALL_NORM, 0.0, m / np.maximum(n, SMALL_NORM))
+
+
+def embed(df: DataFrame, id_col: str, text_col: str, embedder: Embedder, batch: int = 32) -> DataFrame:
+    """id and embedding of every text. An embedder that has its own plan (rows) uses it; others encode batches in tasks."""
+    if hasattr(embedder, "rows"):
+        return embedder.rows(df, id_col, text_col)
+    few = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = None
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                m = checked(embedder.encode(part.column(1).to_pylist()), part.num_rows, size)
+                size = m.shape[1]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.tolist(), pa.list_(pa.float64()))], ["id", "embedding"])
+
+    return few.mapInArrow(run, f"id {few.schema['id'].dataType.simpleString()}, embedding array<double>")
 
 
 class HashedWords:
@@ -41,6 +77,14 @@ class HashedWords:
 
     name = "hashed-words"
 
+    def encode(self, texts: list[str]) -> np.ndarray:
+        """The same for a list of texts, outside Spark."""
+        out = np.zeros((len(texts), DIMENSIONS))
+        for row, text in zip(out, texts):
+            for t in re.findall(r"[^\W_]+", (text or "").lower().translate(str.maketrans(MARKED, PLAIN))):
+                row[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % DIMENSIONS] += 1
+        return checked(out, len(texts))
+
     def rows(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         t = df.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(fold(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0))).alias("t"))
         place = F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long") % DIMENSIONS
@@ -50,49 +94,49 @@ class HashedWords:
         return arrays.select("id", dense.alias("v")).select("id", normalize(F.col("v")).alias("embedding"))
 
 
+def _packed(df: DataFrame, id_col: str, vector_col: str, most: int, ids: str, matrix: str) -> DataFrame:
+    """Rows of up to ``most`` vectors each: their ids, and the vectors as one matrix."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, most):
+                part = b.slice(at, most)
+                x = np.array(part.column(1).to_pylist(), dtype=float)
+                ends = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, part.column(0)), pa.array([x.tobytes()], pa.binary())], [ids, matrix])
+
+    some = df.select(id_col, F.col(vector_col).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    return some.mapInArrow(run, f"{ids} array<{kind}>, {matrix} binary")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "passage_id", query_col: str = "claim_id", vector_col: str = "embedding") -> DataFrame:
     """query, passage, dense_score, dense_rank of each query's k best by dot product, exactly.
 
-    Queries are a batch of claims and are collected in parts of QUERIES_AT_ONCE; each part meets the vectors where they
-    are, as matrices, and every batch gives only its own best k per query. So the shuffle is a few rows per batch.
+    Both sides are packed into blocks, and every block of queries meets every block of vectors once, as two matrices; each
+    such pair gives its own best k of a query, ties by id. So no vector passes the driver but what Spark broadcasts by
+    size, nothing runs while the plan is made, and the shuffle is k rows for each query and block.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    spark = vectors.sparkSession
-    sized = queries.select(F.col(query_col).alias("q"), F.col(vector_col).cast("array<double>").alias("v"))
-    out, part = None, []
-    kinds = {"q": sized.schema["q"].dataType, "p": vectors.schema[id_col].dataType}
-    schema = f"{query_col} {kinds['q'].simpleString()}, {id_col} {kinds['p'].simpleString()}, dense_score double"
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    types = [to_arrow_type(kinds["q"]), to_arrow_type(kinds["p"]), pa.float64()]
-
-    def one(rows: list) -> DataFrame:
-        ids, matrix = [r["q"] for r in rows], np.array([r["v"] for r in rows])
-        sent = spark.sparkContext.broadcast((ids, matrix))  # at most QUERIES_AT_ONCE vectors
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.array(b.column(1).to_pylist())
-                scores = np.round(matrix @ x.T, 6)
-                names = b.column(0)
-                order = np.argsort(-scores, axis=1, kind="stable")
-                best = min(k, x.shape[0])
-                last = np.take_along_axis(scores, order[:, best - 1 : best], 1)
-                q, p = np.nonzero(scores >= last)  # ties at the edge are left to the ranking below
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], types[0]), names.take(pa.array(p)), pa.array(scores[q, p])], [query_col, id_col, "dense_score"])
-
-        return vectors.select(id_col, F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, schema)
-
-    for r in sized.toLocalIterator():
-        part.append(r)
-        if len(part) == QUERIES_AT_ONCE:
-            out, part = one(part) if out is None else out.union(one(part)), []
-    if part or out is None:
-        out = (one(part) if out is None else out.union(one(part))) if part else spark.createDataFrame([], schema)
+    kinds = {"q": queries.schema[query_col].dataType.simpleString(), "p": vectors.schema[id_col].dataType.simpleString()}
+    pairs = _packed(vectors, id_col, vector_col, VECTOR_BLOCK, "__p", "__pm").crossJoin(_packed(queries, query_col, vector_col, QUERY_BLOCK, "__q", "__qm"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                p, q = b.column(0)[i].values, b.column(2)[i].values
+                x, y = (np.frombuffer(b.column(c)[i].as_py()).reshape(n, -1) for c, n in ((1, len(p)), (3, len(q))))
+                if x.shape[1] != y.shape[1]:
+                    raise BadVectors(f"queries have {y.shape[1]} numbers, vectors {x.shape[1]}")
+                by_id = pc.sort_indices(p).to_numpy()
+                scores = np.round(y @ x[by_id].T, 6)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(scores, order, 1)
+                rows = np.repeat(np.arange(len(q)), order.shape[1])
+                yield pa.RecordBatch.from_arrays([q.take(pa.array(rows)), p.take(pa.array(by_id[order.reshape(-1)])), pa.array(best.reshape(-1))], [query_col, id_col, "dense_score"])
+
+    out = pairs.mapInArrow(run, f"{query_col} {kinds['q']}, {id_col} {kinds['p']}, dense_score double")
     w = Window.partitionBy(query_col).orderBy(F.desc("dense_score"), id_col)
     return out.withColumn("dense_rank", F.row_number().over(w).cast("long")).filter(F.col("dense_rank") <= k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import needs_space
+from evidentia.operators.segment import split_sentences
 
 #: Fixed values of the visual-line test.
 MIN_HEIGHT, MIN_OVERLAP, CENTRE_SHARE, BACK_GAP, GAP = 1.0, 0.20, 0.65, 1.5, 2.5
@@ -102,6 +103,23 @@ def sentence_text(sentence_words: DataFrame) -> DataFrame:
     return g.select(*key, normalized_text(words).alias("normalized_text"), F.size("w").cast("long").alias("source_word_count"), F.element_at("w", 1)["block_no"].alias("primary_block_no"))
 
 
+def cut(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sentences of pages from their words, as segment.cut, and the sentences' boxes (keyed by page, block and pos).
+
+    Words of a page without any give no rows. Words are joined by single spaces, so a sentence begins one place after the
+    one before it ends.
+    """
+    placed = placed_words(words, logical_blocks(words))
+    key = [*PAGE, "logical_block_index"]
+    rows = block_text(placed).select(*key, F.posexplode(split_sentences("text")).alias("pos", "source_text"))
+    w = Window.partitionBy(*key).orderBy("pos")
+    end = F.sum(F.length("source_text") + 1).over(w) - 1
+    spans = rows.withColumn("end", end).select(*key, F.col("pos").alias("sentence_index"), (F.col("end") - F.length("source_text")).alias("start"), "end")
+    under = word_sentence_overlap(placed, spans)
+    texts = sentence_text(under).withColumnRenamed("sentence_index", "pos")
+    return rows.join(texts, [*key, "pos"]), line_boxes(under).withColumnRenamed("sentence_index", "pos")
+
+
 def top_edges(boxes: DataFrame, passage_sentences: DataFrame) -> DataFrame:
-    """The top edge of each passage (null without boxes)."""
-    return passage_sentences.join(boxes, "sentence", "left").groupBy("passage").agg(F.min("y0").alias("top_y"))
+    """passage, top_y: the top edge of each passage (null without boxes). boxes: display_id, y0."""
+    return passage_sentences.join(boxes.select(F.col("display_id").alias("sentence"), "y0"), "sentence", "left").groupBy("passage").agg(F.min("y0").alias("top_y"))

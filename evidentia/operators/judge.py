@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import closing
+from contextlib import AbstractContextManager, closing, nullcontext
+from math import exp
 from typing import Protocol
 
 import pandas as pd
@@ -49,9 +50,28 @@ def logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def two_class(no: Column, yes: Column) -> Column:
-    """Probability of yes by softmax over two logits."""
-    return 1 / (1 + F.exp(no - yes))
+def two_class(no: float, yes: float) -> tuple[float, float]:
+    """Probability of yes by softmax over two logits, and their difference: what a language-model reranker returns."""
+    d = yes - no
+    return (1 / (1 + exp(-d)) if d >= 0 else exp(d) / (1 + exp(d))), d
+
+
+def require_device(device: str) -> None:
+    """To be called where a model is made: a CUDA device that isn't there is an error."""
+    if device.startswith("cuda"):
+        try:
+            import torch
+
+            there = torch.cuda.is_available()
+        except ImportError:
+            there = False
+        if not there:
+            raise RuntimeError(f"device {device} was asked for, but CUDA isn't available")
+
+
+def use(model) -> AbstractContextManager:
+    """A model's life in a task: one that is made here, by a function, is closed at the end; a given one is left open."""
+    return nullcontext(model) if hasattr(model, "name") else closing(model())
 
 
 def rank_reranked(scored: DataFrame, by: str = "rerank_score") -> DataFrame:
@@ -66,12 +86,13 @@ def rerank_overlap(candidates: DataFrame, k: int = 30) -> DataFrame:
     return rank_reranked(some.withColumn("rerank_score", p).withColumn("rerank_logit", F.round(logit(F.col("rerank_score")), 6)))
 
 
-def rerank_model(candidates: DataFrame, make_reranker, k: int = 30) -> DataFrame:
-    """The same with any Reranker; it is made in each task, sees only the k best, and is closed at the task's end."""
+def rerank_model(candidates: DataFrame, make_reranker, k: int = 30, by: str = "rerank_score") -> DataFrame:
+    """The same with any Reranker, or a function that makes one in each task; it sees only the k best. by: what ranks them,
+    rerank_score or rerank_logit."""
     some = candidates.filter(F.col("fusion_rank") <= k)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with closing(make_reranker()) as model:
+        with use(make_reranker) as model:
             for frame in frames:
                 for _, group in frame.groupby("claim_id", sort=False):
                     got = model.rerank(group["claim"].iloc[0], group["text"].tolist())
@@ -80,7 +101,7 @@ def rerank_model(candidates: DataFrame, make_reranker, k: int = 30) -> DataFrame
                     yield group.assign(rerank_score=[float(p) for p, _ in got], rerank_logit=[float(x) for _, x in got])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema) + ", rerank_score double, rerank_logit double"
-    return rank_reranked(some.mapInPandas(run, schema))
+    return rank_reranked(some.mapInPandas(run, schema), by)
 
 
 def numbered_sentences(passage_sentences: DataFrame) -> DataFrame:
@@ -132,11 +153,11 @@ def verify_rule(candidates: DataFrame, k: int = 10) -> DataFrame:
 
 
 def verify_model(candidates: DataFrame, make_verifier, k: int = 10) -> DataFrame:
-    """The same with any Verifier, made in each task and closed at its end."""
+    """The same with any Verifier, or a function that makes one in each task."""
     some = candidates.filter(F.col("rerank_rank") <= k)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with closing(make_verifier()) as model:
+        with use(make_verifier) as model:
             for frame in frames:
                 yield frame.assign(raw=[model.verify(c, n) for c, n in zip(frame["claim"], frame["numbered"])])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import query_terms, terms
@@ -21,11 +21,23 @@ class LexicalIndex:
     stats: DataFrame
 
 
+def tokens(passages: DataFrame, id_col: str = "passage_id", text_col: str = "text") -> DataFrame:
+    """passage_id and t: its terms in sorted order, repeats included. The one pass over texts that all tables come from."""
+    return passages.select(F.col(id_col).alias("passage_id"), F.array_sort(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("t"))
+
+
+def _postings(tokenized: DataFrame) -> DataFrame:
+    """Equal terms lie together, so where runs begin gives the frequencies, within the passage's own row."""
+    n = F.size("t")
+    starts = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (F.get("t", i - 1) != x), i)), lambda i: i.isNotNull())
+    d = tokenized.withColumn("starts", starts)
+    runs = F.transform("starts", lambda p, k: F.struct(F.get("t", p).alias("term"), (F.coalesce(F.get("starts", k + 1), n) - p).cast("long").alias("tf"), (k == 0).alias("head")))
+    return d.select("passage_id", n.cast("long").alias("dl"), F.explode(runs).alias("r")).select("r.term", "passage_id", "r.tf", "dl", "r.head")
+
+
 def postings(passages: DataFrame, id_col: str = "passage_id", text_col: str = "text") -> DataFrame:
-    """term, passage_id, tf, dl. Counted within the passage's own row, so building them shuffles nothing."""
-    t = passages.select(F.col(id_col).alias("passage_id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    rows = t.select("passage_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    return rows.groupBy("term", "passage_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "passage_id", "tf", "dl")
+    """term, passage_id, tf, dl; nothing is shuffled."""
+    return _postings(tokens(passages, id_col, text_col)).drop("head")
 
 
 def index_stats(passages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -34,10 +46,29 @@ def index_stats(passages: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build(passages: DataFrame, id_col: str = "passage_id", text_col: str = "text") -> LexicalIndex:
+    """The index as plans: each use computes it anew. write() makes tables of it."""
     p = postings(passages, id_col, text_col)
     return LexicalIndex(p, p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index_stats(passages, text_col))
 
 
+def write(passages: DataFrame, path: str, id_col: str = "passage_id", text_col: str = "text") -> LexicalIndex:
+    """Build the index as tables below a path; texts are read once. Postings are sorted by term, so that a probe's terms
+    prune row groups. Passages without terms have a row without one, which keeps their number and length."""
+    spark = passages.sparkSession
+    t = tokens(passages, id_col, text_col)
+    rows = _postings(t).unionByName(t.filter(F.size("t") == 0).select(F.lit(None).cast("string").alias("term"), "passage_id", F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("dl"), F.lit(True).alias("head")))
+    rows.repartitionByRange("term").sortWithinPartitions("term", "passage_id").write.parquet(f"{path}/postings")
+    rows = spark.read.parquet(f"{path}/postings")
+    rows.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/term_stats")
+    rows.agg(F.count_if("head").alias("n"), F.sum("tf").alias("all")).select("n", F.when(F.col("n") > 0, F.col("all") / F.col("n")).alias("avgdl")).write.parquet(f"{path}/stats")
+    return read(spark, path)
+
+
+def read(spark: SparkSession, path: str) -> LexicalIndex:
+    at = lambda name: spark.read.parquet(f"{path}/{name}")
+    return LexicalIndex(at("postings").filter("term IS NOT NULL").drop("head"), at("term_stats"), at("stats"))
+
+
 def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
     """A term's contribution, negated: more negative is better."""
     raw = F.ln((n - df + 0.5) / (df + 0.5))
@@ -51,10 +82,32 @@ def claim_terms(claims: DataFrame, fold_first: bool = False) -> DataFrame:
     return t.groupBy("claim_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
+class NoTerms(ValueError):
+    """Claims without any term can't be searched for by words."""
+
+
+def require_terms(claims: DataFrame) -> None:
+    none = claims.filter(F.size(query_terms(F.coalesce("claim", F.lit("")))) == 0).select("claim_id").limit(10).collect()
+    if none:
+        raise NoTerms(f"claims without a term: {', '.join(str(r[0]) for r in none)}")
+
+
+def fts_query(claim: Column | str) -> Column:
+    """A claim as a full-text query: its quoted terms, any of which may match. Null without terms."""
+    found = query_terms(claim)
+    return F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR "))
+
+
+def display_score(score: Column | str = "bm25_score") -> Column:
+    """For display only: higher is better."""
+    return -(F.col(score) if isinstance(score, str) else score)
+
+
 def search(index: LexicalIndex, claims: DataFrame, k: int = 100, fold_first: bool = False) -> DataFrame:
     """claim_id, passage_id, bm25_score, bm25_rank of each claim's k best matches; only matches appear.
 
     Postings are probed by term, so passages are not scanned. Term statistics join first: they are the claims' own terms.
+    Claims without terms match nothing; require_terms tells them.
     """
     if k <= 0:
         raise ValueError("k must be positive")

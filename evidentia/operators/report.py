@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import extraction_status, falsy
+from evidentia.functions.text import extraction_status
 
 STATUSES = ("added", "discarded", "replaced", "failed")
 
@@ -25,9 +25,12 @@ def extraction_summary(pages: DataFrame, text_col: str = "text") -> DataFrame:
     return p.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), _n(F.col("s") == "empty").alias("empty_pages"), _n(F.col("s") == "sparse").alias("sparse_pages"))
 
 
-def sentence_summary(sentences: DataFrame, least_words: int = 4) -> DataFrame:
-    """One row over all sentences."""
-    return sentences.agg(F.count(F.lit(1)).alias("sentences"), F.count_distinct("document_id").alias("documents"), _n(F.col("source_word_count") < least_words).alias("short_sentences"))
+def sentence_summary(sentences: DataFrame, pages: DataFrame | None = None, least_words: int = 4) -> DataFrame:
+    """One row over all sentences; with pages (page and word counts) also how many there are, and how many have no words."""
+    own = sentences.agg(F.count(F.lit(1)).alias("sentences"), F.count_distinct("document_id").alias("documents"), _n(F.col("source_word_count") < least_words).alias("short_sentences"))
+    if pages is None:
+        return own
+    return own.crossJoin(pages.agg(F.count(F.lit(1)).alias("pages"), _n(F.coalesce("word_count", F.lit(0)) == 0).alias("pages_without_words")))  # one row each
 
 
 def passage_summary(passages: DataFrame, max_words: int) -> DataFrame:
@@ -42,9 +45,10 @@ def content_types(passages: DataFrame) -> DataFrame:
     return passages.agg(F.array_sort(F.collect_set("content_type")).alias("content_types"))
 
 
-def block_numbers(sentences: DataFrame) -> DataFrame:
-    """passage, the distinct physical blocks under it, sorted."""
-    return sentences.groupBy("passage").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("block_nos")))).alias("block_nos"))
+def block_numbers(boxes: DataFrame, passage_sentences: DataFrame) -> DataFrame:
+    """passage, the distinct physical blocks under its sentences' boxes, sorted."""
+    under = passage_sentences.join(boxes.select(F.col("display_id").alias("sentence"), "block_no"), "sentence")
+    return under.groupBy("passage").agg(F.array_sort(F.collect_set("block_no")).alias("block_nos"))
 
 
 def duplicate_keys(df: DataFrame, table: str, *keys: str) -> DataFrame:
@@ -81,9 +85,5 @@ def cleanup_outcomes(targets: DataFrame, apply: bool) -> DataFrame:
     """What a cleanup does: a preview, or all or nothing."""
     if not apply:
         return targets.withColumn("outcome", F.when(F.col("status") == "ready", "preview").otherwise(F.col("status")))
-    bad = targets.agg(_n(F.col("status") == "invalid").alias("bad"))
+    bad = targets.agg(_n(F.col("status") == "invalid").alias("bad"))  # one row
     return targets.crossJoin(bad).withColumn("outcome", F.when(F.col("bad") > 0, F.col("status")).when(F.col("status") == "ready", "deleted").otherwise(F.col("status"))).drop("bad")
-
-
-def prefer(*cols: str) -> Column:
-    return falsy(*cols)

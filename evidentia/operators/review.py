@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.text import html_escape
+from evidentia.operators import judge
+
 
 class MissingRows(LookupError):
     """Some requested ids do not exist; nothing was produced."""
@@ -35,16 +38,29 @@ def context_window(rows: DataFrame, partition: list[str], order: str, text: str,
 
 
 def page_context(sentences: DataFrame, wanted: DataFrame, n: int = 2) -> DataFrame:
-    """For each wanted display_id its page's sentences within n, with is_target."""
-    target = sentences.join(wanted.select("display_id").distinct(), "display_id").select(F.col("display_id").alias("target"), "document_id", "page_index", F.col("page_sentence_index").alias("at"))
-    near = target.join(sentences, ["document_id", "page_index"]).filter(F.abs(F.col("page_sentence_index") - F.col("at")) <= n)
+    """For each wanted display_id its page's sentences within n, with is_target. Each asks for the 2n + 1 places around its
+    own, so a long page costs no more."""
+    if n < 0:
+        raise ValueError("a context must not be negative")
+    target = sentences.join(wanted.select("display_id").distinct(), "display_id", "left_semi")
+    places = F.explode(F.sequence(F.col("page_sentence_index") - n, F.col("page_sentence_index") + n)).alias("page_sentence_index")
+    target = target.select(F.col("display_id").alias("target"), "document_id", "page_index", places)
+    near = target.join(sentences, ["document_id", "page_index", "page_sentence_index"])
     return near.select("target", "display_id", "page_sentence_index", "source_text", (F.col("display_id") == F.col("target")).alias("is_target"))
 
 
-def details(sentences: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Sentences with their boxes in order."""
-    b = boxes.groupBy("display_id").agg(F.array_sort(F.collect_list(F.struct("box_index", "x0", "y0", "x1", "y1"))).alias("boxes"))
-    return sentences.join(b, "display_id", "left")
+def details(sentences: DataFrame, boxes: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """Sentences with their page, their document and their boxes in order."""
+    b = boxes.groupBy("display_id").agg(F.array_sort(F.collect_list(F.struct("box_index", "block_no", "line_no", "x0", "y0", "x1", "y1"))).alias("boxes"))
+    p = pages.select("document_id", "page_index", "page_number", "width", "height", "rotation", "extraction_status")
+    d = documents.select("document_id", "sha256", "stored_path", "filename", "title", display_name().alias("name"))
+    return sentences.join(p, ["document_id", "page_index"]).join(d, "document_id").join(b, "display_id", "left")
+
+
+def with_names(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows with their document's name; a document that isn't there is called by its id."""
+    named = documents.select("document_id", "title", "filename").distinct()
+    return rows.join(named, "document_id", "left").withColumn("name", display_name()).drop("title", "filename")
 
 
 def render_plan(requested: DataFrame, sentences: DataFrame, documents: DataFrame) -> DataFrame:
@@ -64,6 +80,39 @@ def sentence_candidates(passages: DataFrame, passage_sentences: DataFrame, k: in
     return some.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
+def passage_context(candidates: DataFrame, passage_sentences: DataFrame, n: int = 0) -> DataFrame:
+    """Adds context: the texts within n sentences in the parent passage, clipped at both ends; without a place in the
+    passage the sentence itself. passage_sentences: passage_id, position, sentence_id, text."""
+    if n < 0:
+        raise ValueError("a context must not be negative")
+    near = context_window(passage_sentences, ["passage_id"], "position", "text", n, n).select("passage_id", "position", "context")
+    return candidates.join(near, ["passage_id", "position"], "left").withColumn("context", F.coalesce("context", "text"))
+
+
+def rerank_sentences(candidates: DataFrame, passage_sentences: DataFrame, make_reranker=None, k: int = 10, context: int = 0) -> DataFrame:
+    """Sentence candidates (claim_id, claim, sentence_id, text, passage_id, passage_rank, position), each scored with its
+    context, and the k best by logit; ties go to the better passage and the earlier place. Without a reranker the share of
+    the claim's terms scores."""
+    d = passage_context(candidates, passage_sentences, context)
+    w = Window.partitionBy("claim_id").orderBy("passage_rank", "position", "sentence_id")
+    d = d.withColumnRenamed("text", "sentence").withColumnRenamed("context", "text").withColumn("fusion_rank", F.row_number().over(w).cast("long"))
+    all_ = 1 << 31
+    if make_reranker is None:
+        p = F.round(judge.overlap("claim", "text"), 6)
+        ranked = judge.rank_reranked(d.withColumn("rerank_score", p).withColumn("rerank_logit", F.round(judge.logit(F.col("rerank_score")), 6)), "rerank_logit")
+    else:
+        ranked = judge.rerank_model(d, make_reranker, all_, "rerank_logit")
+    return ranked.filter(F.col("rerank_rank") <= k).withColumnRenamed("text", "context").drop("fusion_rank")
+
+
+def extraction_review(pages: DataFrame) -> DataFrame:
+    """document_id, html: a page for reading what was extracted, one section per page of the document."""
+    one = F.concat(F.lit("<section><h2>Page "), F.col("page_number").cast("string"), F.lit(": "), F.col("extraction_status"), F.lit("</h2><pre>"), html_escape("extracted_text"), F.lit("</pre></section>"))
+    g = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_index", one.alias("s")))).alias("s"))
+    body = F.array_join(F.transform("s", lambda x: x["s"]), "\n")
+    return g.select("document_id", F.concat(F.lit('<!doctype html><meta charset="utf-8"><h1>'), html_escape("document_id"), F.lit("</h1>\n"), body).alias("html"))
+
+
 def display_name(title: Column | str = "title", filename: Column | str = "filename", document_id: Column | str = "document_id") -> Column:
     c = lambda x: F.nullif(F.col(x) if isinstance(x, str) else x, F.lit(""))
     return F.coalesce(c(title), c(filename), c(document_id))

@@ -16,8 +16,9 @@ MARK = "\x1f"
 TERMINATOR = "([.!?…][\"”’)\\]]*)\\s+"
 _DASH = "‐‑‒–—−"
 _LIST = rf"\d+(?:\s*[,;\-{_DASH}]\s*\d+)*"
-#: A numeric citation right after a sentence's end belongs to that sentence.
-CITATION = rf"([A-Za-z)\]][.!?](?:\[\s*{_LIST}\s*\]|\(\s*{_LIST}\s*\)|{_LIST}))\s+([A-Z])"
+#: Fixed value: a numeric citation right after a sentence's end (a letter or closing bracket, then the mark) belongs to
+#: that sentence, and a capital after it begins the next one. The capital is only looked at, as it may be all of it.
+CITATION = rf"([A-Za-z)\]][.!?](?:\[\s*{_LIST}\s*\]|\(\s*{_LIST}\s*\)|{_LIST}))\s+(?=[A-Z])"
 
 
 def looks_like_abbreviation(text: Column | str) -> Column:
@@ -26,17 +27,14 @@ def looks_like_abbreviation(text: Column | str) -> Column:
 
 
 def split_sentences(text: Column | str) -> Column:
-    """Array of a block's sentences, trimmed; white space at their joints is dropped. Blank text has none."""
+    """Array of a block's sentences, trimmed; white space at their joints is dropped. Blank text has none.
+
+    Whether a part ends a sentence shows in the part itself, so parts are joined again with a space or a mark after each
+    and cut at the marks: linear in the text.
+    """
     parts = F.filter(F.split(F.regexp_replace(trim(F.coalesce(col(text), F.lit(""))), TERMINATOR, f"$1{MARK}"), MARK), lambda x: trim(x) != "")
-    merged = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda out, x: F.when(
-            (F.size(out) > 0) & looks_like_abbreviation(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))),
-            F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(F.try_element_at(out, F.lit(-1)), F.lit(" "), x))),
-        ).otherwise(F.concat(out, F.array(x))),
-    )
-    cut = F.flatten(F.transform(merged, lambda x: F.split(F.regexp_replace(x, CITATION, f"$1{MARK}$2"), MARK)))
+    merged = F.array_join(F.transform(parts, lambda x: F.concat(x, F.when(looks_like_abbreviation(x), " ").otherwise(MARK))), "")
+    cut = F.split(F.regexp_replace(merged, CITATION, f"$1{MARK}"), MARK)
     return F.filter(F.transform(cut, trim), lambda x: x != "")
 
 
@@ -46,15 +44,27 @@ def blocks(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return lines.select("document_id", F.lit(0).cast("long").alias("page_index"), F.col("logical_block_index").cast("long").alias("logical_block_index"), trim("block").alias("block"))
 
 
-def sentences(blocks_: DataFrame) -> DataFrame:
-    """One row per sentence with its place in block, page and document, and its display id."""
+def cut(blocks_: DataFrame) -> DataFrame:
+    """A row for each sentence of each block, with its place in it (pos). The text as it is also counts as normalised."""
     rows = blocks_.select("document_id", "page_index", "logical_block_index", F.posexplode(split_sentences("block")).alias("pos", "source_text"))
+    return rows.withColumns({"normalized_text": F.col("source_text"), "source_word_count": word_count("source_text"), "primary_block_no": F.col("logical_block_index")})
+
+
+def number(rows: DataFrame) -> DataFrame:
+    """Adds each sentence's place in block, page and document, its display id and its length."""
     order = ["page_index", "logical_block_index", "pos"]
     doc = Window.partitionBy("document_id").orderBy(*order)
     page = Window.partitionBy("document_id", "page_index").orderBy(*order[1:])
     rows = rows.withColumn("document_sentence_index", F.row_number().over(doc).cast("long") - 1).withColumn("page_sentence_index", F.row_number().over(page).cast("long") - 1)
-    return rows.select(
-        "document_id", "page_index", "logical_block_index", F.col("pos").cast("long").alias("block_sentence_index"), "page_sentence_index", "document_sentence_index",
-        F.format_string("%s:p%04d:s%03d", F.col("document_id").cast("string"), F.col("page_index") + 1, F.col("page_sentence_index")).alias("display_id"),
-        "source_text", F.length("source_text").cast("long").alias("character_count"), word_count("source_text").alias("source_word_count"),
-    )
+    return rows.withColumns(
+        {
+            "block_sentence_index": F.col("pos").cast("long"),
+            "display_id": F.format_string("%s:p%04d:s%03d", F.col("document_id").cast("string"), F.col("page_index") + 1, F.col("page_sentence_index")),
+            "character_count": F.length("source_text").cast("long"),
+        }
+    )
+
+
+def sentences(blocks_: DataFrame) -> DataFrame:
+    """The numbered sentences of blocks of text."""
+    return number(cut(blocks_)).select("document_id", "page_index", "logical_block_index", "block_sentence_index", "page_sentence_index", "document_sentence_index", "display_id", "source_text", "character_count", "source_word_count")

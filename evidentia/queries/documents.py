@@ -9,7 +9,7 @@ from evidentia.functions import text as T
 from evidentia.operators import chunk, classify, dense, fusion, judge, lexical, report, review, segment
 from evidentia.plans import ingest, verify
 from evidentia.queries import sqltext as S
-from evidentia.sources import readers
+from evidentia.sources import readers, scratch
 from evidentia.streaming import live
 
 QUERIES: dict = {}
@@ -42,6 +42,17 @@ def corpus_passages(spark, d):
     return documents(spark, d).select(F.col("doc_id").alias("passage_id"), "text")
 
 
+def index(spark, d) -> lexical.LexicalIndex:
+    """The documents' lexical index as tables, built once for each state of the table and probed by every search."""
+    return lexical.read(spark, scratch.built(spark, "lexical", f"{d}/documents.parquet", lambda path: lexical.write(corpus_passages(spark, d), path)))
+
+
+def vectors(spark, d) -> DataFrame:
+    """The documents' vectors as a table, built once likewise."""
+    make = lambda path: dense.HashedWords().rows(corpus_passages(spark, d), "passage_id", "text").withColumnRenamed("id", "passage_id").write.parquet(path)
+    return spark.read.parquet(scratch.built(spark, "vectors", f"{d}/documents.parquet", make))
+
+
 # --- sources, digests, duplicates
 
 
@@ -98,9 +109,10 @@ def sentences(spark, d):
     return segment.sentences(segment.blocks(documents(spark, d)))
 
 
-@query(rf"WITH {S.sentences()} SELECT count(*) AS sentences, count(DISTINCT document_id) AS documents, count(*) FILTER (WHERE {S.WORDS('source_text')} < 4) AS short_sentences FROM sen")
+@query(rf"""WITH {S.sentences()} SELECT count(*) AS sentences, count(DISTINCT document_id) AS documents, count(*) FILTER (WHERE {S.WORDS('source_text')} < 4) AS short_sentences,
+(SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM documents WHERE {S.WORDS("coalesce(text, '')")} = 0) AS pages_without_words FROM sen""")
 def sentence_summary(spark, d):
-    return report.sentence_summary(sentences(spark, d))
+    return report.sentence_summary(sentences(spark, d), documents(spark, d).select(T.word_count("text").alias("word_count")))
 
 
 @query(f"{S.PASSAGES} SELECT display_id, document_id, block_passage_index, source_text, word_count, sentence_count, word_count >= 8 AS retrieval_eligible FROM passages")
@@ -150,17 +162,17 @@ def constraint_checks(spark, d):
 
 @query(f"WITH {S.INDEX} SELECT term, passage_id, tf, dl FROM post")
 def postings(spark, d):
-    return lexical.postings(corpus_passages(spark, d))
+    return index(spark, d).postings
 
 
 @query(f"WITH {S.INDEX} SELECT term, df FROM ts")
 def term_stats(spark, d):
-    return lexical.build(corpus_passages(spark, d)).term_stats
+    return index(spark, d).term_stats
 
 
 @query(f"WITH {S.INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM st")
 def index_stats(spark, d):
-    return lexical.index_stats(corpus_passages(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return index(spark, d).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {S.CLAIM_TERMS} SELECT * FROM qt")
@@ -170,17 +182,21 @@ def query_terms(spark, d):
 
 @query(f"WITH {S.CLAIM_TERMS}, {S.INDEX}, {S.BM25} SELECT claim_id, passage_id, bm25_score, bm25_rank FROM lex WHERE bm25_rank <= 10")
 def bm25_batch_claims(spark, d):
-    return lexical.search(lexical.build(corpus_passages(spark, d)), claims(spark, d), 10)
+    return lexical.search(index(spark, d), claims(spark, d), 10)
 
 
-@query(f"WITH {S.CLAIM_TERMS}, {S.INDEX}, {S.BM25} SELECT claim_id, passage_id, bm25_score, bm25_rank, lang, source FROM lex JOIN documents ON doc_id = passage_id WHERE bm25_rank <= 10 AND claim_id = (SELECT min(item_id) FROM benchmark)")
+@query(f"WITH {S.CLAIM_TERMS}, {S.INDEX}, {S.BM25} SELECT claim_id, passage_id, bm25_score, -bm25_score AS shown_score, bm25_rank, lang, source FROM lex JOIN documents ON doc_id = passage_id WHERE bm25_rank <= 10 AND claim_id % 100 = 0")
 def bm25_topk(spark, d):
-    """The first claim's ten best passages with their documents' own columns."""
-    first = claims(spark, d).orderBy("claim_id").limit(1)
-    hits = lexical.search(lexical.build(corpus_passages(spark, d)), first, 10)
+    """The ten best passages of the stated query set, claims with ids divisible by 100, with their documents' columns."""
+    hits = lexical.search(index(spark, d), claims(spark, d).filter("claim_id % 100 = 0"), 10).withColumn("shown_score", lexical.display_score())
     return hits.join(documents(spark, d).select(F.col("doc_id").alias("passage_id"), "lang", "source"), "passage_id")
 
 
+@query(f"WITH {S.CLAIM_TERMS}, o AS (SELECT claim_id, w, min(i) AS i FROM (SELECT claim_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT claim_id, regexp_extract_all(replace(lower(claim), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+') AS x FROM claims)) GROUP BY ALL) SELECT claim_id, string_agg('\"' || translate(w, '{S.MARKED}', '{S.PLAIN}') || '\"', ' OR ' ORDER BY i) AS fts_query FROM o GROUP BY claim_id")
+def fts_queries(spark, d):
+    return claims(spark, d).select("claim_id", lexical.fts_query("claim").alias("fts_query")).filter("fts_query IS NOT NULL")
+
+
 # --- dense
 
 
@@ -201,10 +217,11 @@ def dense_batch(spark, d):
     return dense.search(e, e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10, "vec_id", "query_id")
 
 
-@query(DENSE_SQL.format("q.vec_id = 0"))
+@query(f"WITH {S.CLAIMS}, {S.DENSE} SELECT claim_id, passage_id, dense_score, dense_rank FROM den WHERE dense_rank <= 10")
 def dense_topk(spark, d):
-    e = table(spark, d, "embeddings")
-    return dense.search(e, e.filter("vec_id = 0").withColumnRenamed("vec_id", "query_id"), 10, "vec_id", "query_id")
+    """Every claim's ten nearest documents by their vectors."""
+    asked = dense.HashedWords().rows(claims(spark, d), "claim_id", "claim").withColumnRenamed("id", "claim_id")
+    return dense.search(vectors(spark, d), asked, 10)
 
 
 @query(f"WITH {S.vectors('dv', 'documents', 'doc_id', 'text')} SELECT id AS doc_id, place::BIGINT AS place, round(v, 6) AS v FROM dv")
@@ -215,17 +232,14 @@ def embed_texts(spark, d):
 
 @query(f"WITH {S.vectors('dv', 'documents', 'doc_id', 'text')} SELECT (SELECT count(*) FROM documents) AS passages, count(DISTINCT id) AS vectors, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT id FROM dv)) AS unmatched FROM dv")
 def index_consistency(spark, d):
-    v = dense.HashedWords().rows(documents(spark, d), "doc_id", "text").withColumnRenamed("id", "passage_id")
-    return dense.check_consistency(v, corpus_passages(spark, d))
+    return dense.check_consistency(vectors(spark, d), corpus_passages(spark, d))
 
 
 # --- hybrid retrieval and verification
 
 
 def fused(spark, d, k: int = 100):
-    p = corpus_passages(spark, d)
-    e = dense.HashedWords()
-    return verify.hybrid(lexical.build(p), e.rows(p, "passage_id", "text").withColumnRenamed("id", "passage_id"), claims(spark, d), e, k)
+    return verify.hybrid(index(spark, d), vectors(spark, d), claims(spark, d), dense.HashedWords(), k)
 
 
 @query(f"{S.HYBRID} SELECT claim_id, passage_id, fusion_score, fusion_rank FROM fused WHERE fusion_rank <= 10")
@@ -262,7 +276,7 @@ SELECT count(*) AS pairs, count(*) FILTER (WHERE bm25_rank <= 10) AS found FROM
 def recall_at_k(spark, d):
     c, docs = claims(spark, d), documents(spark, d)
     truth = verbatim(c, docs)
-    hits = lexical.search(lexical.build(corpus_passages(spark, d)), c, 10).select("claim_id", F.col("passage_id").alias("doc_id"), "bm25_rank")
+    hits = lexical.search(index(spark, d), c, 10).select("claim_id", F.col("passage_id").alias("doc_id"), "bm25_rank")
     return truth.join(hits, ["claim_id", "doc_id"], "left").agg(F.count(F.lit(1)).alias("pairs"), F.count("bm25_rank").alias("found"))
 
 
@@ -297,13 +311,13 @@ def audit_candidates(spark, d):
 
 
 @query(f"""WITH {S.sentences()}, {S.CLAIM_TERMS}, {S.INDEX}, {S.BM25},
-x AS (SELECT claim_id, passage_id, bm25_rank, {S.TRIM('source_text')} AS sentence, block_sentence_index AS p, page_sentence_index AS pos FROM lex JOIN sen ON document_id = passage_id WHERE bm25_rank <= 3)
+x AS (SELECT claim_id, passage_id, bm25_rank, {S.TRIM('source_text')} AS sentence, block_sentence_index AS p, page_sentence_index AS pos FROM lex JOIN sen ON document_id = passage_id WHERE bm25_rank <= 30)
 SELECT claim_id, sentence, passage_id, bm25_rank AS passage_rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, sentence ORDER BY bm25_rank, pos) AS n FROM x) WHERE n = 1""")
 def sentence_candidates(spark, d):
-    """Distinct sentences (by text) of each claim's three best passages."""
-    top = lexical.search(lexical.build(corpus_passages(spark, d)), claims(spark, d), 3)
+    """Distinct sentences (by text) of each claim's thirty best passages by words."""
+    top = lexical.search(index(spark, d), claims(spark, d), 30)
     s = sentences(spark, d).select(F.col("document_id").alias("passage_id"), F.col("source_text").alias("sentence_id"), F.col("page_sentence_index").alias("position"))
-    got = review.sentence_candidates(top.withColumn("passage_rank", F.col("bm25_rank")), s, 3)
+    got = review.sentence_candidates(top.withColumn("passage_rank", F.col("bm25_rank")), s)
     return got.select("claim_id", F.col("sentence_id").alias("sentence"), "passage_id", "passage_rank")
 
 
@@ -317,6 +331,21 @@ def sentence_candidates_fused(spark, d):
     return got.select("claim_id", F.col("sentence_id").alias("sentence"), "passage_id", "passage_rank")
 
 
+@query(f"""{S.HYBRID}, {S.sentences()}, sen2 AS (SELECT *, {S.TRIM('source_text')} AS sentence FROM sen),
+cs AS (SELECT claim_id, passage_id, fusion_rank, sentence, page_sentence_index AS pos FROM fused JOIN sen2 ON document_id = passage_id WHERE fusion_rank <= 30),
+c1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, sentence ORDER BY fusion_rank, pos) AS n FROM cs) WHERE n = 1),
+cq AS (SELECT claim_id, list_distinct({S.TERMS('claim')}) AS q FROM claims),
+sc2 AS (SELECT c1.*, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, {S.TERMS('sentence')})) / len(q) END, 6) AS score FROM c1 JOIN cq USING (claim_id)),
+lg AS (SELECT *, round(ln(greatest(0.000001, least(0.999999, score)) / (1 - greatest(0.000001, least(0.999999, score)))), 6) AS logit FROM sc2)
+SELECT claim_id, sentence, passage_id, score AS rerank_score, rerank_rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY logit DESC, fusion_rank, pos, sentence) AS rerank_rank FROM lg) WHERE rerank_rank <= 10""")
+def sentence_rerank(spark, d):
+    """The ten sentences of each claim's thirty best passages that hold most of its terms."""
+    s = sentences(spark, d).select(F.col("document_id").alias("passage_id"), F.col("source_text").alias("sentence_id"), F.col("page_sentence_index").alias("position"), F.col("source_text").alias("text"))
+    some = review.sentence_candidates(fused(spark, d).withColumn("passage_rank", F.col("fusion_rank")).join(claims(spark, d), "claim_id"), s)
+    got = review.rerank_sentences(some, s)
+    return got.select("claim_id", "sentence", "passage_id", "rerank_score", "rerank_rank")
+
+
 # --- contexts and review
 
 
@@ -325,21 +354,32 @@ def context_window(spark, d):
     return review.context_window(table(spark, d, "conversations"), ["conv_id"], "turn", "text", 1, 1).select("conv_id", "turn", "context")
 
 
-@query(f"""WITH {S.sentences()}, w AS (SELECT document_id, page_sentence_index AS i FROM sen WHERE page_sentence_index = 5)
-SELECT printf('%s:p%04d:s%03d', sen.document_id::VARCHAR, 1, i) AS target, page_sentence_index, source_text, page_sentence_index = i AS is_target FROM w JOIN sen ON sen.document_id = w.document_id AND abs(page_sentence_index - i) <= 2""")
+@query(f"""{S.PASSAGES}, x AS (SELECT p.display_id AS passage, sen.source_text AS t, sen.block_sentence_index - p.s AS position
+FROM passages p JOIN sen ON sen.document_id = p.document_id AND sen.logical_block_index = p.logical_block_index AND sen.block_sentence_index >= p.s AND sen.block_sentence_index < p.e)
+SELECT passage, position, string_agg(t, ' ') OVER (PARTITION BY passage ORDER BY position ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM x""")
+def passage_context(spark, d):
+    """Every passage's sentences with their neighbours in it."""
+    s = sentences(spark, d)
+    parts = chunk.passage_sentences(chunk.passages(s)).join(s.select(F.col("display_id").alias("sentence"), F.col("source_text").alias("text")), "sentence").withColumnRenamed("passage", "passage_id")
+    got = review.passage_context(parts.select("passage_id", "position", "text"), parts, 1)
+    return got.select(F.col("passage_id").alias("passage"), "position", "context")
+
+
+@query(f"""WITH {S.sentences()}
+SELECT printf('%s:p%04d:s%03d', w.document_id::VARCHAR, 1, w.page_sentence_index) AS target, sen.page_sentence_index, sen.source_text, sen.page_sentence_index = w.page_sentence_index AS is_target
+FROM sen w JOIN sen ON sen.document_id = w.document_id AND sen.page_sentence_index BETWEEN w.page_sentence_index - 2 AND w.page_sentence_index + 2""")
 def page_context(spark, d):
-    """The context of each document's sixth sentence."""
+    """The context of every sentence on its page."""
     s = sentences(spark, d)
-    got = review.page_context(s, s.filter("page_sentence_index = 5"))
-    return got.select("target", "page_sentence_index", "source_text", "is_target")
+    return review.page_context(s, s).select("target", "page_sentence_index", "source_text", "is_target")
 
 
-@query(f"""WITH {S.sentences()}, q AS (SELECT document_id, page_sentence_index AS i, printf('%s:p%04d:s%03d', document_id::VARCHAR, 1, page_sentence_index) AS sid FROM sen WHERE page_sentence_index < 3)
+@query(f"""WITH {S.sentences()}, q AS (SELECT document_id, page_sentence_index AS i, printf('%s:p%04d:s%03d', document_id::VARCHAR, 1, page_sentence_index) AS sid FROM sen)
 SELECT 'store/' || document_id || '.txt' AS stored_path, count(*) AS n, printf('%s_page_%04d_%s.png', document_id::VARCHAR, 1, substr(sha256(string_agg(sid, chr(0) ORDER BY i)), 1, 12)) AS output FROM q GROUP BY document_id""")
 def render_plan(spark, d):
-    """A page image for each document with its first three sentences; the request is the whole list of them, per document."""
+    """A page image for each document with all of its sentences; a request is a document's list of them."""
     s = sentences(spark, d)
-    asked = s.filter("page_sentence_index < 3").groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_sentence_index", "display_id"))), lambda x: x["display_id"]).alias("ids"))
+    asked = s.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_sentence_index", "display_id"))), lambda x: x["display_id"]).alias("ids"))
     docs = s.select("document_id").distinct().withColumn("stored_path", F.concat(F.lit("store/"), F.col("document_id").cast("string"), F.lit(".txt")))
     got = review.render_plan(asked, s, docs)
     return got.select("stored_path", F.size("sentence_ids").cast("long").alias("n"), "output")

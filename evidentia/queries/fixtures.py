@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.operators import classify, fusion, geometry, judge, report, segment
+from evidentia.operators import classify, fusion, geometry, judge, report, review, segment
 from evidentia.plans import ingest
+from evidentia.plans.corpus import Corpus
+from evidentia.sources import readers, scratch
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -42,9 +47,9 @@ def reference_likeness(spark, d):
     return spark.createDataFrame(rows, "id int, t string").select("id", classify.reference_likeness("t")["likely"].alias("likely"))
 
 
-@query("id, sentences", "(1, 'was found.[12]|The next')", "(2, 'was found.12,13|The next')", "(3, 'was found.[12] the next')", "(4, 'value 3.12 The')")
+@query("id, sentences", "(1, 'was found.[12]|The next')", "(2, 'was found.12,13|The next')", "(3, 'was found.[12] the next')", "(4, 'value 3.12 The')", "(5, 'Seen in a.[1]|B.[2]|Cells grew.')")
 def citation_boundaries(spark, d):
-    rows = [(1, "was found.[12] The next"), (2, "was found.12,13 The next"), (3, "was found.[12] the next"), (4, "value 3.12 The")]
+    rows = [(1, "was found.[12] The next"), (2, "was found.12,13 The next"), (3, "was found.[12] the next"), (4, "value 3.12 The"), (5, "Seen in a.[1] B.[2] Cells grew.")]
     return spark.createDataFrame(rows, "id int, t string").select("id", F.array_join(segment.split_sentences("t"), "|").alias("sentences"))
 
 
@@ -195,3 +200,172 @@ def cleanup_preview(spark, d):
     """One invalid target keeps all others from being deleted."""
     one = report.cleanup_outcomes(inactive(spark), False).select("root", F.col("outcome").alias("preview"))
     return one.join(report.cleanup_outcomes(inactive(spark), True).select("root", F.col("outcome").alias("applied")), "root")
+
+
+# --- whole ingestions of inline documents
+
+ONE = "The red fox crossed the frozen river at night. It was seen by two of the hunters there."
+TWO = "Second document has one page only here.\fAnd a second page with quite a few more words in it."
+
+
+def _sources(spark, *rows):
+    return readers.from_texts(spark.createDataFrame(list(rows), "id string, text string"), "id", "text")
+
+
+def _corpus(spark) -> Corpus:
+    return Corpus.create(spark, f"{scratch.folder(spark)}/corpus-{uuid.uuid4().hex}")
+
+
+#: Corpora that several queries look at, made once in an application.
+_made: dict[tuple, tuple] = {}
+
+
+def _once(spark, name: str, make):
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def _repeats(spark, policy: str) -> tuple:
+    """A batch that holds one content twice, then a batch with a known content and a new one; and all outcomes."""
+
+    def make():
+        c = _corpus(spark)
+        first = c.ingest(_sources(spark, ("a", ONE), ("b", ONE)), policy)
+        return c, first.unionByName(c.ingest(_sources(spark, ("c", TWO), ("d", ONE)), policy))
+
+    return _once(spark, policy, make)
+
+
+@query("policy, filename, page_count, pages, sentences, passages, words", *[f"('{p}', '{one}', 1, 1, 2, 1, 17)" for p, one in (("ask", "a.txt"), ("discard", "a.txt"), ("replace", "d.txt"))], *[f"('{p}', 'c.txt', 2, 2, 2, 2, 19)" for p in ("ask", "discard", "replace")])
+def ingest_tables(spark, d):
+    """What is left of repeated contents under each policy: one document with each page, sentence and passage once."""
+    out = None
+    for policy in ingest.POLICIES:
+        c, _ = _repeats(spark, policy)
+        n = lambda name: c.table(name).groupBy("document_id").agg(F.count(F.lit(1)).alias(name))  # noqa: B023, E731
+        words = c.table("passages").groupBy("document_id").agg(F.sum("word_count").alias("words"))
+        part = c.table("documents").select("document_id", "filename", "page_count")
+        for x in (n("pages"), n("sentences"), n("passages"), words):
+            part = part.join(x, "document_id")
+        part = part.select(F.lit(policy).alias("policy"), "filename", "page_count", *[F.col(x).cast("int").alias(x) for x in ("pages", "sentences", "passages")], F.col("words").cast("int").alias("words"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("policy, source_path, status", *[f"('{p}', 'table/{s}.txt', '{r}')" for p, t in (("ask", "failed"), ("discard", "discarded"), ("replace", "replaced")) for s, r in (("a", "added"), ("b", t), ("c", "added"), ("d", t))])
+def ingest_outcomes(spark, d):
+    out = None
+    for policy in ingest.POLICIES:
+        part = _repeats(spark, policy)[1].select(F.lit(policy).alias("policy"), "source_path", "status")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _line(text: str, y: float, block: int, line: int = 0, x: float = 10.0) -> list[tuple]:
+    """Words of a line, six points a character."""
+    out = []
+    for w in text.split(" "):
+        out.append((w, x, y, x + 6.0 * len(w), y + 10.0, block, line))
+        x += 6.0 * (len(w) + 1)
+    return out
+
+
+def paged_document() -> str:
+    """Three pages with words and a rule, below which stands a bibliography without a heading; one page has no words."""
+    first = _line("We saw many partici-", 100, 0, 0) + _line("pants in this study of the river. They came", 112, 0, 1) + _line("back [3].", 112, 1, 0, 290.0) + _line("A far block.", 300, 2)
+    last = _line("The last words of the body stand above the rule here.", 200, 0) + _line("[1] First A. and B. of the year 2001 in a journal.", 520, 1, 0) + _line("[2] Second C. and D. of the year 2002 in a book.", 540, 1, 1)
+    pages = [{"words": first}, {"words": []}, {"words": last, "drawings": [("line", 10.0, 500.0, 500.0, 500.5)]}]
+    pages = [p | {"text": " ".join(w[0] for w in p["words"]), "width": 600.0, "height": 800.0} for p in pages]
+    return json.dumps({"metadata": {"title": " On rivers ", "author": "A. Writer", "subject": ""}, "pages": pages})
+
+
+def paged(spark) -> Corpus:
+    def make():
+        c = _corpus(spark)
+        return c, c.ingest(_sources(spark, ("p", paged_document())), make_decoder=readers.JsonDecoder)
+
+    return _once(spark, "paged", make)[0]
+
+
+@query("page, block, place, source, normalized, words", "(0, 0, 0, 'We saw many partici-pants in this study of the river.', 'We saw many participants in this study of the river.', 11)", "(0, 0, 1, 'They came back [3].', 'They came back [3].', 4)", "(0, 1, 0, 'A far block.', 'A far block.', 3)", "(2, 0, 0, 'The last words of the body stand above the rule here.', 'The last words of the body stand above the rule here.', 11)", "(2, 1, 0, '[1] First A. and B. of the year 2001 in a journal.', '[1] First A. and B. of the year 2001 in a journal.', 12)", "(2, 1, 1, '[2] Second C. and D. of the year 2002 in a book.', '[2] Second C. and D. of the year 2002 in a book.', 12)")
+def page_sentences(spark, d):
+    """From words with geometry to sentences: blocks on one visual line are joined, hyphens at line ends are resolved."""
+    c = lambda x, y: F.col(x).cast("int").alias(y)
+    return paged(spark).table("sentences").select(c("page_index", "page"), c("logical_block_index", "block"), c("block_sentence_index", "place"), F.col("source_text").alias("source"), F.col("normalized_text").alias("normalized"), c("source_word_count", "words"))
+
+
+@query("sentence, box, block, line, x0, y0, y1", "(0, 0, 0, 0, 10.0::DOUBLE, 100.0::DOUBLE, 110.0::DOUBLE)", "(0, 1, 0, 1, 10.0::DOUBLE, 112.0::DOUBLE, 122.0::DOUBLE)", "(1, 0, 0, 1, 214.0::DOUBLE, 112.0::DOUBLE, 122.0::DOUBLE)", "(1, 1, 1, 0, 290.0::DOUBLE, 112.0::DOUBLE, 122.0::DOUBLE)", "(2, 0, 2, 0, 10.0::DOUBLE, 300.0::DOUBLE, 310.0::DOUBLE)")
+def page_boxes(spark, d):
+    """The boxes of the first page's sentences, one for each block and line."""
+    c = paged(spark)
+    b = c.table("sentence_boxes").join(c.table("sentences").filter("page_index = 0").select("display_id", "page_sentence_index"), "display_id")
+    i = lambda x, y: F.col(x).cast("int").alias(y)
+    return b.select(i("page_sentence_index", "sentence"), i("box_index", "box"), i("block_no", "block"), i("line_no", "line"), "x0", "y0", "y1")
+
+
+@query("page, block, content_type, eligible, blocks", "(0, 0, 'body', true, '0,1')", "(0, 1, 'body', false, '2')", "(2, 0, 'body', true, '0')", "(2, 1, 'end_matter', false, '1')")
+def page_classes(spark, d):
+    """Without a heading the rule cuts: the passage below it is end matter. blocks: the physical ones under a passage."""
+    c = paged(spark)
+    blocks = report.block_numbers(c.table("sentence_boxes"), c.table("passage_sentences"))
+    p = c.table("passages").join(blocks, F.col("display_id") == F.col("passage"))
+    return p.select(F.col("page_index").cast("int").alias("page"), F.col("logical_block_index").cast("int").alias("block"), "content_type", F.col("retrieval_eligible").alias("eligible"), F.array_join(F.transform("block_nos", lambda x: x.cast("string")), ",").alias("blocks"))
+
+
+@query("title, authors, abstract, page_count, types", "('On rivers', 'A. Writer', NULL, 3, 'body,end_matter')")
+def page_metadata(spark, d):
+    """Embedded metadata, trimmed; empty text is none."""
+    c = paged(spark)
+    types = report.content_types(c.table("passages"))
+    return c.table("documents").crossJoin(types).select("title", F.array_join("authors", ",").alias("authors"), "abstract", "page_count", F.array_join("content_types", ",").alias("types"))  # one row each
+
+
+@query("page, passage, top_y", "(0, 0, 100.0::DOUBLE)", "(0, 1, 300.0::DOUBLE)", "(2, 0, 200.0::DOUBLE)", "(2, 1, 520.0::DOUBLE)")
+def passage_tops(spark, d):
+    c = paged(spark)
+    tops = geometry.top_edges(c.table("sentence_boxes"), c.table("passage_sentences"))
+    p = c.table("passages").join(tops, F.col("display_id") == F.col("passage"))
+    return p.select(F.col("page_index").cast("int").alias("page"), F.col("logical_block_index").cast("int").alias("passage"), "top_y")
+
+
+@query("display_id, page_number, name, boxes, status", "(1, 1, 'On rivers', 2, 'sparse')", "(2, 1, 'On rivers', 2, 'sparse')", "(3, 1, 'On rivers', 1, 'sparse')", "(4, 3, 'On rivers', 1, 'ok')", "(5, 3, 'On rivers', 1, 'ok')", "(6, 3, 'On rivers', 1, 'ok')")
+def sentence_details(spark, d):
+    """Sentences (numbered here by document) with page, document and boxes."""
+    c = paged(spark)
+    got = review.details(c.table("sentences"), c.table("sentence_boxes"), c.table("pages"), c.table("documents"))
+    return got.select((F.col("document_sentence_index") + 1).cast("int").alias("display_id"), F.col("page_number").cast("int").alias("page_number"), "name", F.size("boxes").alias("boxes"), F.col("extraction_status").alias("status"))
+
+
+@query("id, html", "('x', '<!doctype html><meta charset=\"utf-8\"><h1>x</h1>\n<section><h2>Page 1: sparse</h2><pre>a &lt;b&gt; &amp; &quot;c&quot;</pre></section>\n<section><h2>Page 2: empty</h2><pre></pre></section>')")
+def extraction_review(spark, d):
+    pages = spark.createDataFrame([("x", 1, 2, "empty", ""), ("x", 0, 1, "sparse", 'a <b> & "c"')], "document_id string, page_index bigint, page_number bigint, extraction_status string, extracted_text string")
+    return review.extraction_review(pages).select(F.col("document_id").alias("id"), "html")
+
+
+@query("id, size", "(1, '1023 B')", "(2, '1.5 KiB')", "(3, '2.0 MiB')", "(4, '3.0 GiB')")
+def human_sizes(spark, d):
+    rows = [(1, 1023), (2, 1536), (3, 2 << 20), (4, 3 << 30)]
+    return spark.createDataFrame(rows, "id int, n bigint").select("id", T.human_size("n").alias("size"))
+
+
+@query("id, name", "('a', 'Title')", "('b', 'b.pdf')", "('c', 'c')")
+def display_names(spark, d):
+    """Title, else file name, else id; also where the document isn't there."""
+    docs = spark.createDataFrame([("a", "Title", "a.pdf"), ("b", "", "b.pdf")], "document_id string, title string, filename string")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "document_id string")
+    return review.with_names(rows, docs).select(F.col("document_id").alias("id"), "name")
+
+
+@query("id, text", "(1, 'a')", "(2, 'b')", "(3, '')")
+def first_filled(spark, d):
+    """The first value that is neither null nor empty, trimmed."""
+    rows = [(1, " a ", "b"), (2, "", "b "), (3, None, "")]
+    return spark.createDataFrame(rows, "id int, a string, b string").select("id", T.falsy("a", "b").alias("text"))
+
+
+@query("child, parent", "(1, 'a')", "(3, 'b')")
+def cascade_delete(spark, d):
+    child = spark.createDataFrame([(1, "a"), (2, "x"), (3, "b"), (4, "x")], "child int, parent string")
+    return report.cascade_delete(child, spark.createDataFrame([("x",)], "parent string"), "parent")

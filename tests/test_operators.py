@@ -118,12 +118,16 @@ def test_corpus_from_sources_to_audit(spark, tmp_path):
     with pytest.raises(CorpusError):
         verify.verify_claims(c, claims, allow_stale=False)
     again = [r["status"] for r in c.ingest(more, "replace").collect()]
-    assert again == ["replaced"] and c.table("documents").count() == 3
+    assert again == ["replaced"] and c.table("documents").count() == 3 and c.state["index_status"] == "rebuild_required"
 
 
 def test_json_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n')
     assert readers.json_lines(spark, str(tmp_path / "a.jsonl"), "id int").count() == 2
+    (tmp_path / "b.jsonl").write_text('{"id": 1}\n\nno json\n{"id": 2}\n')
+    with pytest.raises(readers.BadLine, match="line 3"):
+        readers.json_lines(spark, str(tmp_path / "b.jsonl"), "id int")
+    assert readers.json_lines(spark, str(tmp_path / "b.jsonl"), "id int", strict=False).count() == 2
     assert readers.json_lines_or_empty(spark, str(tmp_path / "none.jsonl"), "id int").count() == 0
     rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "id int, v string, seq int")
     assert readers.last_by_id(rows, "id", "seq").first()["v"] == "b"
@@ -133,7 +137,54 @@ def test_top_k_plan_is_bounded(spark):
     e = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(50)], "passage_id bigint, embedding array<double>")
     q = spark.createDataFrame([(1, [1.0, 0.0])], "claim_id bigint, embedding array<double>")
     plan = dense.search(e, q, 3)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+    assert "WindowGroupLimit" in plan
+
+
+def test_dense_ties_end_at_the_id(spark):
+    """Equal vectors give k rows a query, those with the smallest ids, whatever their batches."""
+    e = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(40, 0, -1)], "passage_id bigint, embedding array<double>").repartition(4)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "claim_id bigint, embedding array<double>")
+    got = sorted((r["claim_id"], r["dense_rank"], r["passage_id"]) for r in dense.search(e, q, 3).collect())
+    assert got == [(c, k, k) for c in (1, 2) for k in (1, 2, 3)]
+    assert dense.search(e, q.filter("claim_id > 5"), 3).count() == 0 and dense.search(e.filter("passage_id > 99"), q, 3).count() == 0
+    with pytest.raises(Exception, match="numbers"):
+        dense.search(e, q.withColumn("embedding", F.array(F.lit(1.0))), 3).count()
+
+
+def test_vectors_are_checked():
+    assert dense.checked([[3.0, 4.0], [0.0, 0.0]], 2).tolist() == [[0.6, 0.8], [0.0, 0.0]]
+    for bad, n, size in (([[1.0]], 2, None), ([1.0], 1, None), ([[float("nan")]], 1, None), ([[1.0]], 1, 2)):
+        with pytest.raises(dense.BadVectors):
+            dense.checked(bad, n, size)
+
+
+def test_written_index_equals_plans(spark, tmp_path):
+    texts = [(1, "alpha beta alpha"), (2, ""), (3, None), (4, "Beta gamma"), (5, "--")]
+    p = spark.createDataFrame(texts, "passage_id bigint, text string")
+    a, b = lexical.build(p), lexical.write(p, str(tmp_path / "index"))
+    for x, y in ((a.postings, b.postings), (a.term_stats, b.term_stats), (a.stats, b.stats)):
+        assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.select(*x.columns).collect()))
+    with pytest.raises(lexical.NoTerms):
+        lexical.require_terms(spark.createDataFrame([(1, "a"), (2, "?!")], "claim_id bigint, claim string"))
+
+
+def test_two_classes_and_devices():
+    p, d = judge.two_class(-1.0, 1.0)
+    assert abs(p - 0.880797) < 1e-6 and d == 2.0 and abs(judge.two_class(1000.0, -1000.0)[0]) < 1e-9
+    judge.require_device("cpu")
+    with pytest.raises(RuntimeError):
+        judge.require_device("cuda:0")
+
+
+def test_sentences_are_reranked_with_their_context(spark):
+    parts = spark.createDataFrame([("p", k, f"s{k}", t) for k, t in enumerate(["The fox ran.", "It was red.", "Nobody saw it."])], "passage_id string, position bigint, sentence_id string, text string")
+    some = parts.selectExpr("1L AS claim_id", "'red fox' AS claim", "sentence_id", "text", "passage_id", "1L AS passage_rank", "position")
+    plain = review.rerank_sentences(some, parts, k=2).orderBy("rerank_rank").collect()
+    assert [r["sentence_id"] for r in plain] == ["s0", "s1"] and [r["rerank_score"] for r in plain] == [0.5, 0.5]
+    wide = review.rerank_sentences(some, parts, k=3, context=1).orderBy("rerank_rank").collect()
+    assert [(r["sentence_id"], r["rerank_score"]) for r in wide] == [("s0", 1.0), ("s1", 1.0), ("s2", 0.5)] and wide[0]["context"] == "The fox ran. It was red."
+    model = review.rerank_sentences(some, parts, Fixed, k=1).collect()
+    assert [(r["sentence_id"], r["rerank_logit"]) for r in model] == [("s0", 0.0)]
 
 
 def test_stream_windows(spark, tmp_path):
