@@ -71,7 +71,7 @@ def require_device(device: str) -> None:
 
 def use(model) -> AbstractContextManager:
     """A model's life in a task: one that is made here, by a function, is closed at the end; a given one is left open."""
-    return nullcontext(model) if hasattr(model, "name") else closing(model())
+    return closing(model()) if callable(model) else nullcontext(model)
 
 
 def rank_reranked(scored: DataFrame, by: str = "rerank_score") -> DataFrame:

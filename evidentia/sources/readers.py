@@ -66,7 +66,7 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
     """
     rows = spark.read.schema(f"{schema}, __bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
     if not strict:
-        return rows.filter("__bad IS NULL").drop("__bad")
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     bad = rows.select("*", F.col("_metadata.file_path").alias("file")).filter("__bad IS NOT NULL").limit(1).collect()
     if bad:
         for n, line in enumerate(spark.read.text(bad[0]["file"]).toLocalIterator(), 1):
