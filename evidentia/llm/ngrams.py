@@ -40,8 +40,8 @@ ORDER, BACKOFF, UNSEEN = 2, 0.4, 0.5
 GRAM_BLOCK_BYTES = 5_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Buckets for each part, so that parts are about even.
-BUCKETS_EACH = 4
+#: Parts at most, which grow from there on, and buckets for each part, so that parts are about even.
+MOST_PARTS, BUCKETS_EACH = 50_000, 4
 #: A place among a block's n-grams of a part and a total, in one number.
 TOTAL_BITS = 40
 
@@ -124,7 +124,7 @@ def totals(asked: DataFrame, parts: int) -> DataFrame:
 def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_backoff (words whose full n-gram is found nowhere else), score."""
     few = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = max(LEAST_BUCKETS, size_of(few) // BUCKET_BYTES)
+    parts = min(MOST_PARTS, max(LEAST_BUCKETS, size_of(few) // BUCKET_BYTES))
     buckets = parts * BUCKETS_EACH
     id_type = few.schema["doc_id"].dataType
     id_arrow = to_arrow_type(id_type)
@@ -134,7 +134,7 @@ def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, places, distinct in blocks(batches, GRAM_BLOCK_BYTES, words_of):
-            g = Grams([np.array(p, np.int64) for p in places], hashed(distinct), order)
+            g = Grams(places, hashed(distinct), order)
             for bucket, some in g.parts(buckets).items():
                 ends = pa.array([0, len(some)], pa.int32())
                 keys, counts = pa.array(g.keys[some].view(np.int64)), pa.array(g.counts[some].astype(np.int32))
@@ -142,7 +142,7 @@ def ngram_scores(df: DataFrame, order: int = ORDER, id_col: str = "doc_id", text
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, places, distinct in blocks(batches, GRAM_BLOCK_BYTES, words_of):
-            lengths, flat = pack(np.array([len(p) for p in places])), pack(np.fromiter((x for p in places for x in p), np.uint32))
+            lengths, flat = pack(np.array([len(p) for p in places])), pack(np.concatenate(places))
             data = pa.record_batch([pa.array([lengths], pa.binary()), pa.array([flat], pa.binary()), pa.array([hashed(distinct).astype("<u8").tobytes()], pa.binary()), pa.array([ids], pa.list_(id_arrow))], ["lengths", "flat", "hashes", "ids"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, data.schema) as w:

@@ -34,8 +34,8 @@ from evidentia.llm import tokens
 
 #: Text bytes of a block; input bytes for which there is one bucket of words, and the fewest buckets.
 BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 16_000_000, 16_000_000, 64
-#: Documents of a batch whose words are unpacked at once.
-SLICE = 64
+#: Documents of a batch whose words are looked up at once.
+SLICE = 256
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -57,15 +57,26 @@ class Index(dict):
         return place
 
 
-def lists(column: pa.ListArray) -> Iterator[list[str]]:
-    """The lists of words of a batch; few documents' words are Python objects at once."""
+def encoded(column: pa.Array, index: Index, split) -> Iterator[tuple[list[np.ndarray], int]]:
+    """A batch's documents in slices: each document's words as places in the index, and the slice's bytes.
+
+    Arrow finds the distinct words of a slice of word lists, so only these become Python objects.
+    """
+    if split is not None:
+        for text in column:
+            text = text.as_py()
+            yield [np.array(array("I", map(index.__getitem__, split(text))), np.uint32)], len(text)
+        return
     for at in range(0, len(column), SLICE):
         part = column.slice(at, SLICE)
-        flat, ends = part.flatten().to_pylist(), np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-        yield from (flat[i:j] for i, j in zip([0, *ends], ends))
+        flat = part.flatten()
+        found = flat.dictionary_encode()
+        place = np.fromiter(map(index.__getitem__, found.dictionary.to_pylist()), np.uint32, len(found.dictionary))
+        ends = np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))
+        yield np.split(place[found.indices.to_numpy()], ends[:-1]), flat.nbytes - 3 * len(flat)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, split=None) -> Iterator[tuple[int, list, list[array], list[str]]]:
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, split=None) -> Iterator[tuple[int, list, list[np.ndarray], list[str]]]:
     """batches: id, and words, or texts for ``split``. Gives block id, documents' ids, their words as places, the distinct
     words."""
     part, k = TaskContext.get().partitionId(), 0
@@ -79,10 +90,16 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, split=No
         return seal.intdigest() - (1 << 63), ids, places, words
 
     for b in batches:
-        for doc, words in zip(b.column(0), lists(b.column(1)) if split is None else (split(t.as_py()) for t in b.column(1))):
-            ids.append(doc.as_py())
-            places.append(array("I", map(index.__getitem__, words)))
-            size += sum(map(len, words)) + len(words)
+        docs = iter(b.column(0).to_pylist())
+        at = 0
+        while at < b.num_rows:
+            for some, n in encoded(b.column(1).slice(at), index, split):
+                ids += [next(docs) for _ in some]
+                places += some
+                size += n
+                at += len(some)
+                if size >= limit:  # the index begins anew, and so do the slices
+                    break
             if size >= limit:
                 yield close()
                 ids, places, index, size, k = [], [], Index(), 0, k + 1
@@ -91,8 +108,10 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES, split=No
 
 
 def size_of(df: DataFrame) -> int:
-    """The optimizer's estimate of a plan's input bytes; costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of a plan's input bytes; costs no job. Where it knows none, as if each shuffle partition had
+    a bucket's bytes."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else BUCKET_BYTES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def encode_decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
@@ -132,7 +151,7 @@ def encode_decode(df: DataFrame, path: str | None = None, id_col: str = "doc_id"
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, places, _ in blocks(batches):
             lengths = pack(np.array([len(p) for p in places]))
-            flat = np.fromiter((x for p in places for x in p), np.uint32)
+            flat = np.concatenate(places)
             sink = pa.BufferOutputStream()
             table = pa.record_batch([pa.array(ids, id_arrow)], ["doc_id"])
             with pa.ipc.new_stream(sink, table.schema) as w:
