@@ -6,6 +6,8 @@ import re
 import time
 import zlib
 
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 import xxhash
@@ -484,6 +486,48 @@ def test_html_cases(spark):
     assert (html.train().predict(table[:, :-1]) == table[:, -1].astype(bool)).mean() >= 0.95
 
 
+class Article(HTMLParser):
+    """The synthetic pages' article, read by the standard parser: its paragraphs and headings are the blocks."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.hidden = 0, [[]], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.inside += 1
+        if tag in ("script", "style"):
+            self.hidden += 1
+        if tag == "br":
+            self.blocks[-1].append(" ")
+        if tag not in ("b", "i", "em", "strong", "a", "span", "br", "code"):
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.inside -= 1
+        if tag in ("script", "style"):
+            self.hidden -= 1
+        if tag not in ("b", "i", "em", "strong", "a", "span", "br", "code"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside and not self.hidden:
+            self.blocks[-1].append(data)
+
+
+def test_html_equals_a_parser_on_all_pages(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert got.keys() == pages.keys() and len(pages) >= 200
+    for k, page in pages.items():
+        p = Article()
+        p.feed(page or "")
+        p.close()
+        want = [" ".join("".join(b).split()) for b in p.blocks]
+        assert got[k] == "\n".join(b for b in want if b), k
+
+
 def test_html_long_attributes():
     tree = html.train()
     text = lambda page: html.main_text(page, tree)
