@@ -137,19 +137,6 @@ def windows(words: np.ndarray, offset: int) -> np.ndarray:
     return x if not r else (x << np.uint64(r)) | (words[:, (k + 1) % words.shape[1]] >> np.uint64(64 - r))
 
 
-class Forest:
-    """Smallest representatives by union-find over places."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-
 def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, error: int, budget: int, nodes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places (into left, into right) whose fingerprints differ in at most ``budget`` bits.
 
@@ -199,16 +186,28 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, error: in
 
 
 def _span(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and their components' first places, for those that aren't first."""
-    forest = Forest(n)
+    """Places and their components' first places, for those that aren't first. Pairs within a component, which are nearly
+    all in a crowd of copies, are dropped as arrays; at most n - 1 others join two components."""
+    up = np.arange(n)
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            i = int(up[i])
+        return i
+
     for p, q in pairs:
-        for i, j in zip(p.tolist(), q.tolist()):
-            i, j = forest.root(i), forest.root(j)
-            if i != j:
-                forest.up[max(i, j)] = min(i, j)
-    roots = np.fromiter((forest.root(i) for i in range(n)), np.int64, n)
-    places = np.flatnonzero(roots != np.arange(n))
-    return places, roots[places]
+        a, b = up[p], up[q]
+        apart = a != b
+        if apart.any():
+            code = np.unique(np.minimum(a, b)[apart] * n + np.maximum(a, b)[apart])
+            for i, j in zip((code // n).tolist(), (code % n).tolist()):
+                i, j = root(i), root(j)
+                if i != j:
+                    up[max(i, j)] = min(i, j)
+            while (up[up] != up).any():
+                up = up[up]
+    places = np.flatnonzero(up != np.arange(n))
+    return places, up[places]
 
 
 def _node_pairs(rows: pa.Table, search: Search) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -290,9 +289,9 @@ def links(fps: DataFrame, search: Search, group_rows: int = GROUP_ROWS) -> DataF
         return pa.table({"a": fp.take(pa.array(a)), "b": fp.take(pa.array(b))})
 
     # an explicit number of tasks: their work grows faster than their bytes, by which Spark would join them
-    tasks = max(1, math.ceil(total / TASK_ROWS))
-    dealt = ready.withColumn("task", F.pmod(F.xxhash64("turn", "depth", "u", "v"), F.lit(tasks)))
-    return dealt.repartition(tasks, "task").groupBy("task").applyInArrow(run, "a binary, b binary")
+    each = max(1, math.ceil(total / len(search.offsets) / TASK_ROWS))
+    dealt = ready.withColumn("task", F.col("turn") * each + F.pmod(F.xxhash64("depth", "u", "v"), F.lit(each)))
+    return dealt.repartition(each * len(search.offsets), "task").groupBy("task").applyInArrow(run, "a binary, b binary")
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, words: int, budget: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
