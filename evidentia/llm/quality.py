@@ -26,6 +26,8 @@ from evidentia.llm import shared
 
 #: Common words of a language; languages whose tables are broadcast at most (a row of about one KB each).
 COMMON, FEW_LANGUAGES = 16, 4_000
+#: Hashes by which words are counted first, and hashes of a language that are broadcast at most.
+WORD_BUCKETS, FEW_BUCKETS = 65_536, 200_000
 #: Least characters, words and expected common words at which a histogram counts, and the largest distances of kept
 #: documents: of classes as such, of words as a share of the distance of a text without common words.
 GUARD_CHARS, GUARD_WORDS, GUARD_HITS = 200, 50, 5
@@ -90,12 +92,32 @@ def _beside(d: DataFrame, small: DataFrame) -> DataFrame:
 
 
 def common_words(df: DataFrame, text_col: str, lang_col: str | None) -> DataFrame:
-    """lang, __list: the most frequent words of each language, and of all of them together for the null language."""
+    """lang, __list: the most frequent words of each language, and of all of them together for the null language.
+
+    Most distinct words are rare, so they aren't all counted apart. Words are counted by WORD_BUCKETS hashes first, which
+    bounds each word's count; the words of each language's largest buckets, counted apart, tell how frequent its last
+    common word is at least; then the words of all buckets that reach it are counted. The result is that of a full count.
+    """
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    words = df.select(lang.alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"[^{SPACE}]+"), F.lit(0))).alias("w"))
-    counts = words.filter(F.col("lang").isNotNull()).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("w").rlike(r"\p{L}"))
-    # the limit on the rank is pushed below the shuffle: each task sends COMMON words of a language at most
-    top = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).filter(F.col("k") <= COMMON)
+    words = df.select(lang.alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"[^{SPACE}]+"), F.lit(0))).alias("w")).filter(F.col("lang").isNotNull())
+    words = words.withColumn("h", F.pmod(F.xxhash64("w"), F.lit(WORD_BUCKETS)))
+    count = F.count(F.lit(1)).alias("n")
+    sizes = shared.save(words.groupBy("lang", "h").agg(count), "word-buckets")
+
+    # a limit on a rank is pushed below the shuffle: each task sends so many rows of a language at most
+    def largest(d: DataFrame, k: int, by: str) -> DataFrame:
+        return d.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), by))).filter(F.col("k") <= k)
+
+    def counted(some: DataFrame) -> DataFrame:
+        few = F.broadcast(some) if some.count() <= FEW_BUCKETS else some
+        return largest(words.join(few, ["lang", "h"], "left_semi").groupBy("lang", "w").agg(count).filter(F.col("w").rlike(r"\p{L}")), COMMON, "w")
+
+    first = shared.save(largest(sizes, 2 * COMMON, "h").select("lang", "h"), "word-buckets")
+    top = shared.save(counted(first), "common-words")
+    least = top.filter(F.col("k") == COMMON).select("lang", F.col("n").alias("least"))
+    reach = sizes.join(least, "lang", "left").filter(F.col("n") >= F.coalesce("least", F.lit(0))).select("lang", "h")
+    if reach.join(first, ["lang", "h"], "left_anti").take(1):
+        top = counted(shared.save(reach, "word-buckets"))
     own = shared.save(top.groupBy("lang").agg(F.array_sort(F.collect_list("w")).alias("__list")), "common-words")
     all_ = own.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__list")))).alias("__list"))
     return shared.save(own.unionByName(all_.select(F.lit(None).cast("string").alias("lang"), "__list")), "common-words")
