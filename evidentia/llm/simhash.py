@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import components, shared
+from evidentia.llm import components, prefixes, shared
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -56,13 +56,13 @@ def _again(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42, parts: int = 1) -> int:
-    """The first 64 bits, or with parts > 1 that many times 64, the first of them highest."""
+def shingles(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """Hashes of the text's shingles in order, repeats included."""
     found = WORD.findall((text or "").translate(UPPER) if text else "")
-    if not found:
-        return 0
     xxh = xxhash.xxh64_intdigest
-    if len(found) <= words:
+    if not found:
+        hashes = []
+    elif len(found) <= words:
         hashes = [xxh(" ".join(found), seed)]
     elif words == 3:
         hashes = [xxh(f"{a} {b} {c}", seed) for a, b, c in zip(found, found[1:], found[2:])]
@@ -70,23 +70,48 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42, parts: int = 1
         hashes = [xxh(f"{a} {b} {c} {d} {e}", seed) for a, b, c, d, e in zip(found, found[1:], found[2:], found[3:], found[4:])]
     else:
         hashes = [xxh(" ".join(found[i : i + words]), seed) for i in range(len(found) - words + 1)]
-    h = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def _fingerprint(h: np.ndarray, parts: int) -> int:
+    if not len(h):
+        return 0
     out = int(_majorities(h)[0])
     for k in range(1, parts):
         out = out << 64 | int(_majorities(_again(h, k))[0])
     return out
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, parts: int = 1) -> DataFrame:
-    """doc_id, digest (of the text), fp (binary, 8 bytes for each part, the highest bit first)."""
+def fingerprint(text: str | None, words: int = 3, seed: int = 42, parts: int = 1) -> int:
+    """The first 64 bits, or with parts > 1 that many times 64, the first of them highest."""
+    return _fingerprint(shingles(text, words, seed), parts)
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, parts: int = 1, similarity: float | None = None) -> DataFrame:
+    """doc_id, digest (of the text), fp (binary, 8 bytes for each part, the highest bit first).
+
+    With a similarity also the set of shingles: sig, n (its size), prefix (binary, 8 bytes for each).
+    """
+    order = None if similarity is None else prefixes.order_of(df, text_col, lambda t: shingles(t, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [fingerprint(t.as_py(), words, parts=parts).to_bytes(8 * parts, "big") for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], ["doc_id", "digest", "fp"])
+            fps, sigs, sizes, firsts = [], [], [], []
+            for t in b.column(2):
+                h = shingles(t.as_py(), words)
+                fps.append(_fingerprint(h, parts).to_bytes(8 * parts, "big"))
+                if order is not None:
+                    h = np.unique(h)
+                    sigs.append(prefixes.signature(h))
+                    sizes.append(len(h))
+                    firsts.append(prefixes.prefix(h, order, similarity).tobytes())
+            cols = [b.column(0), b.column(1), pa.array(fps, pa.binary())]
+            if order is not None:
+                cols += [pa.array(sigs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "fp", "sig", "n", "prefix"][: len(cols)])
 
     few = df.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest"), F.col(text_col).alias("text"))
-    return few.mapInArrow(run, "doc_id long, digest long, fp binary")
+    return few.mapInArrow(run, "doc_id long, digest long, fp binary" + ("" if order is None else ", sig long, n int, prefix binary"))
 
 
 def digest(text_col: str):
@@ -297,21 +322,40 @@ def links(fps: DataFrame, search: Search, group_rows: int = GROUP_ROWS) -> DataF
 def _classes(df: DataFrame, id_col: str, text_col: str, words: int, budget: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, digest, fp) and classes (fp, component_id, and the first row of the component: none, doc_id, digest)."""
     parts = 1 if similarity is None else 4
-    docs = shared.save(fingerprints(df, id_col, text_col, words, parts), "fingerprints")
+    docs = shared.save(fingerprints(df, id_col, text_col, words, parts, similarity), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     firsts = shared.save(docs.groupBy("fp").agg(F.min(row).alias("first")), "firsts")
     search = exact_search(budget) if similarity is None else similar_search(firsts.count(), similarity, parts)
     found = components.connected_components(links(firsts, search), "a", "b")
     labelled = firsts.join(found, firsts.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    if similarity is not None:
+        labelled = shared.save(labelled, "labelled")
+        more = components.connected_components(_rest(df, docs, labelled, id_col, text_col, words, similarity), "a", "b")
+        labelled = labelled.join(more, labelled.component == more.node, "left").select("fp", "first", F.coalesce(more.component, labelled.component).alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("first"))
     return docs, shared.save(labelled.drop("first").join(smallest, "component").select("fp", F.col("first.doc_id").alias("component_id"), "first"), "classes")
 
 
+def _rest(df: DataFrame, docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """a, b: components that the tries left apart although texts of them have the similarity, or one set of shingles."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    rows = docs.join(labelled.select("fp", "component"), "fp").withColumn("comp", F.xxhash64("component"))
+    pairs = shared.save(prefixes.candidates(rows, similarity), "pairs")
+    sets = docs.drop("prefix").join(labelled.select("fp", "component"), "fp").groupBy("sig").agg(F.min(row).alias("first"), F.collect_set("component").alias("all"))
+    sets = shared.save(sets, "sets")
+    near = prefixes.similar(pairs, sets, df, id_col, text_col, digest(text_col), lambda t: shingles(t, words), similarity)
+    of = sets.select("sig", F.array_min("all").alias("c"))
+    apart = near.join(of.select(F.col("sig").alias("a"), F.col("c").alias("ca")), "a").join(of.select(F.col("sig").alias("b"), F.col("c").alias("cb")), "b")
+    equal = sets.filter(F.size("all") > 1).select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
+    return apart.select(F.col("ca").alias("a"), F.col("cb").alias("b")).union(equal)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id (smallest id reachable over links, itself included).
 
-    Without a similarity: 64 bits, all links of at most ``budget`` differing ones. With it: wider fingerprints, links of
-    texts whose shingles are about so similar or more.
+    Without a similarity: 64 bits, all links of at most ``budget`` differing ones. With it: wider fingerprints, and all
+    links of texts whose sets of shingles are so similar (Jaccard) or more. The tries find most of them, and some of texts
+    a little less similar; those they leave apart are found by prefixes of the sets and checked on the sets.
     """
     docs, classes = _classes(df, id_col, text_col, words, budget, similarity)
     return docs.join(classes, "fp").select("doc_id", "fp", "component_id")

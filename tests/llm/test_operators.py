@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from evidentia.llm import embeddings, html, language, ngrams, packing, quality, queries, simhash, tokens, urlfilter, wavelet, wordtable
+from evidentia.llm import embeddings, html, language, ngrams, packing, prefixes, quality, queries, simhash, tokens, urlfilter, wavelet, wordtable
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"word{i % 97} and{i % 13}" for i in range(30_000))
@@ -267,6 +267,53 @@ def test_keep_first(spark, none):
     assert simhash.keep_first(none).count() == 0 and got[0].asDict().keys() == {"doc_id", "text", "more"}
 
 
+def test_keep_first_at_the_similarity(spark):
+    """No pair at the similarity is left out, though short texts' fingerprints often differ beyond the budget."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(200):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 20, 28, 60]))]
+        more = [f"x{rng.randrange(10**6)}" for _ in range((len(w) - 4) // 4)]  # n shared shingles of n + n / 4 in all
+        rows += [(k, " ".join(w)), (1000 + k, " ".join(w + more))]
+    # one set of shingles in other numbers
+    rows += [(300, "a b c d e f g h " * 2), (1300, "a b c d e f g h " * 2 + "a b c d e " * 40)]
+    sets = [set(simhash.shingles(t, 5).tolist()) for _, t in rows]
+    want = components_of(len(rows), lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(r["doc_id"] for r in simhash.keep_first(df).collect())
+    assert got == sorted(rows[r][0] for r in set(want)) and len(got) <= 202
+
+
+@pytest.mark.parametrize("often", [0, 3])
+def test_prefix_meetings(monkeypatch, often):
+    """Whatever the order, sets at the similarity meet once, and none of one component."""
+    monkeypatch.setattr(prefixes, "TRY_PAIRS", 50)
+    rng = random.Random(4)
+    sets = []
+    for _ in range(60):
+        s = [rng.getrandbits(64) for _ in range(rng.choice([1, 4, 5, 16, 40]))]
+        sets.append(s)
+        for _ in range(3):
+            sets.append(s[: len(s) - rng.randrange(len(s) // 4 + 1)] + [rng.getrandbits(64) for _ in range(rng.randrange(len(s) // 5 + 1))])
+    sets = [np.unique(np.array(s, np.uint64)) for s in sets]
+    every = np.unique(np.concatenate(sets))
+    order = (every[:: often or len(every)], np.array([rng.randrange(9) + 1 for _ in every[:: often or len(every)]]))
+    sigs = [prefixes.signature(s) for s in sets]
+    comps = [rng.randrange(100) for _ in sets]
+    rows = [(h >> np.uint64(32), g, c, len(s), k) for s, g, c in zip(sets, sigs, comps) for k, h in enumerate(prefixes.prefix(s, order, 0.8))]
+    got = prefixes._meetings(*(np.array(x) for x in zip(*rows)), 0.8).tolist()
+    met = {tuple(x) for x in got}
+    assert len(met) == len(got)
+    alike = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if sigs[i] != sigs[j] and comps[i] != comps[j] and both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                alike += 1
+                assert (min(sigs[i], sigs[j]), max(sigs[i], sigs[j])) in met
+    assert alike > 50 and len(met) < 4 * alike
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
