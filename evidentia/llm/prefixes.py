@@ -148,22 +148,47 @@ def candidates(rows: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition(tasks, "task").groupBy("task").applyInArrow(meet, "a long, b long").distinct()
 
 
+def parities(shingle_set: np.ndarray) -> bytes:
+    """Of four or more buckets to a shingle, a power of two of them, whether the number of shingles in each is odd."""
+    buckets = 1 << max(6, (4 * len(shingle_set) - 1).bit_length())
+    count = np.bincount((shingle_set >> np.uint64(20) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.packbits(count & 1 == 1, bitorder="little").tobytes()
+
+
+def _may_be_near(x: bytes, y: bytes, m: int, n: int, similarity: float) -> bool:
+    """Each odd bucket of the symmetric difference holds one of it at least, so the odd ones can't be more than it may have."""
+    x, y = (np.frombuffer(s, np.uint64) for s in (x, y))
+    few = min(len(x), len(y))  # the larger is folded to the buckets of the smaller
+    x, y = (np.bitwise_xor.reduce(s.reshape(-1, few), axis=0) for s in (x, y))
+    return int(np.bitwise_count(x ^ y).sum()) <= (m + n) * (1 - similarity) / (1 + similarity) + SLACK
+
+
+def _are_near(x: bytes, y: bytes, m: int, n: int, similarity: float) -> bool:
+    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+    return both / (m + n - both) >= similarity
+
+
 def similar(pairs: DataFrame, sets: DataFrame, df: DataFrame, id_col: str, text_col: str, digest, shingles: Shingles, similarity: float) -> DataFrame:
-    """The pairs (a, b) that have the similarity. sets: sig, first (none, doc_id, digest: a row of df that has the set)."""
+    """The pairs (a, b) that have the similarity. sets: sig, first (none, doc_id, digest: a row of df that has the set).
+
+    Parities, a sixteenth of a set or so, rule out nearly all pairs that haven't; the sets are compared for the others.
+    """
+    for code, test in ((parities, _may_be_near), (np.ndarray.tobytes, _are_near)):
+        pairs = shared.save(_tested(pairs, sets, df, id_col, text_col, digest, shingles, similarity, code, test), "near")
+    return pairs
+
 
+def _tested(pairs: DataFrame, sets: DataFrame, df: DataFrame, id_col: str, text_col: str, digest, shingles: Shingles, similarity: float, code: Callable, test: Callable) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 got = [np.unique(shingles(t.as_py())) for t in b.column(0).slice(k, 1024)]
-                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["sig", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in got], pa.int64()), pa.array([len(s) for s in got], pa.int32()), pa.array([code(s) for s in got], pa.binary())], ["sig", "n", "code"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both / (len(x) + len(y) - both) >= similarity)
+            x, y, m, n = (b.column(c).to_pylist() for c in ("x", "y", "m", "n"))
+            keep = [test(*row, similarity) for row in zip(x, y, m, n)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
@@ -171,7 +196,7 @@ def similar(pairs: DataFrame, sets: DataFrame, df: DataFrame, id_col: str, text_
     few = F.broadcast(wanted) if wanted.count() <= FEW_SETS else wanted
     texts = df.select(F.col(id_col).cast("long").alias("__k"), digest.alias("__d"), F.col(text_col).alias("text"))
     texts = texts.join(few, F.col("__k").eqNullSafe(F.col("__id")) & (F.col("__d").eqNullSafe(F.col("__digest"))), "left_semi")
-    read_sets = shared.save(texts.select("text").mapInArrow(read, "sig long, hashes binary").dropDuplicates(["sig"]), "sets")
-    one = read_sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x"))
-    two = read_sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    codes = shared.save(texts.select("text").mapInArrow(read, "sig long, n int, code binary").dropDuplicates(["sig"]), "codes")
+    one = codes.select(F.col("sig").alias("a"), F.col("n").alias("m"), F.col("code").alias("x"))
+    two = codes.select(F.col("sig").alias("b"), "n", F.col("code").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(check, "a long, b long")

@@ -285,9 +285,11 @@ def links(fps: DataFrame, search: Search, group_rows: int = GROUP_ROWS) -> DataF
     while True:
         rows = shared.save(rows, "trie")
         size = rows.groupBy("turn", "u", "v").agg(F.count(F.lit(1)).alias("n"))
-        large = size.filter(F.col("n") > group_rows).select("turn", "u", "v")
+        # saved and broadcast: there is at most one of them to group_rows rows, and the rows needn't be shuffled to find theirs
+        large = shared.save(size.filter(F.col("n") > group_rows).select("turn", "u", "v"), "large")
         step = min(STEP_BITS, 64 - depth)
         done = step <= 0 or not large.take(1)
+        large = F.broadcast(large)
         part = (rows if done else rows.join(large, ["turn", "u", "v"], "left_anti")).withColumn("depth", F.lit(depth))
         ready, total = part if ready is None else ready.unionByName(part), total + rows.count()
         if done:

@@ -240,6 +240,19 @@ def test_simhash_wide_links(spark):
     assert len(set(labels_of(spark, crowd, 32, search, 40))) <= 3
 
 
+def test_simhash_large_nodes_are_found_by_broadcast(spark):
+    """The turned fingerprints, which are many times the input's, aren't shuffled to tell large nodes from others."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        centre = random.Random(7).getrandbits(256)
+        df = spark.createDataFrame([((centre ^ 1 << i).to_bytes(32, "big"),) for i in range(100)], "fp binary")
+        plan = simhash.links(df, simhash.similar_search(100), 40)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_simhash_documents(docs, none):
     got = {(r["doc_id"], bytes(r["fp"])): r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert {c for (k, _), c in got.items() if k in (2, 3, 4)} == {2} and {c for (k, _), c in got.items() if k == 1} == {1}
@@ -314,6 +327,22 @@ def test_prefix_meetings(monkeypatch, often):
     assert alike > 50 and len(met) < 4 * alike
 
 
+def test_prefix_parities():
+    """They rule out no pair at the similarity, also of unequal sizes, and most pairs well below it; a smaller code than the set."""
+    rng = np.random.default_rng(5)
+    near = lambda f, x, y, code: f(code(x), code(y), len(x), len(y), 0.8)
+    out = 0
+    for n in (4, 16, 32, 64, 400, 1000) * 10:
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        at = np.unique(np.concatenate([s, rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)]))
+        below = np.unique(np.concatenate([s, rng.integers(0, 1 << 63, n // 2, dtype=np.uint64)]))
+        assert near(prefixes._are_near, s, at, np.ndarray.tobytes) and near(prefixes._may_be_near, s, at, prefixes.parities)
+        assert not near(prefixes._are_near, s, below, np.ndarray.tobytes) and near(prefixes._may_be_near, below, at, prefixes.parities) >= near(prefixes._are_near, below, at, np.ndarray.tobytes)
+        out += not near(prefixes._may_be_near, s, below, prefixes.parities)
+        assert n < 100 or 4 * len(prefixes.parities(s)) < s.nbytes
+    assert out > 50
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 16))
