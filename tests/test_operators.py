@@ -232,3 +232,40 @@ def test_sentence_candidates_reach_thirty_fused_passages(spark):
     got = queries.QUERIES["sentence_candidates_fused"](spark, d).collect()
     assert max(r["passage_rank"] for r in got) == 30
     assert len(got) == len(want) and {(r["claim_id"], r["sentence"]): (r["passage_rank"], r["passage_id"]) for r in got} == want
+
+
+def test_search_in_small_blocks_equals_one_by_one(spark, monkeypatch):
+    """Blocks, and candidates dropped on the way, change nothing; equal texts tie by id. No pair of claim and passage is shuffled."""
+    import math
+
+    words = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    texts = [(n, " ".join(words[(n * m) % 6] for m in range(1, 2 + n % 5))) for n in range(40)] + [(90, "?"), (91, None), (92, "cd ab"), (93, "cd ab")]
+    asked = [(c, " ".join(words[c % 6 : c % 6 + 2])) for c in range(9)] + [(9, "zz"), (10, "!")]
+    terms = {p: (t or "").replace("?", "").split() for p, t in texts}
+    df, mean = {w: sum(w in t for t in terms.values()) for w in words}, sum(map(len, terms.values())) / len(terms)
+
+    def part(w, t):
+        raw = math.log((len(terms) - df[w] + 0.5) / (df[w] + 0.5))
+        return -(raw if raw > 0 else 1e-6) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean))
+
+    want = set()
+    for c, claim in asked:
+        found = sorted((round(sum(part(w, t) for w in claim.split() if w in t), 6), p) for p, t in terms.items() if set(t) & set(claim.split()))
+        want |= {(c, p, s, r) for r, (s, p) in enumerate(found[:4], 1)}
+    for name, n in (("PASSAGE_BLOCK", 3), ("CLAIM_BLOCK", 2), ("HELD", 6)):
+        monkeypatch.setattr(lexical, name, n)
+    index = lexical.build(spark.createDataFrame(texts, "passage_id bigint, text string").repartition(3))
+    got = lexical.search(index, spark.createDataFrame(asked, "claim_id bigint, claim string"), 4)
+    assert {tuple(r) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hashpartitioning" in x and "claim_id" in x and "passage_id" in x]
+    by_postings = lexical.LexicalIndex(index.postings, index.term_stats, index.stats)
+    assert {tuple(r) for r in lexical.search(by_postings, spark.createDataFrame(asked, "claim_id bigint, claim string"), 4).collect()} == want
+
+
+def test_index_is_built_without_dealing_out_postings(spark):
+    p = spark.createDataFrame([(1, "a b a"), (2, None)], "passage_id bigint, text string")
+    i = lexical.build(p)
+    assert "Exchange" not in i.postings._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in i.postings.collect()) == [("a", 1, 2, 3), ("b", 1, 1, 3)]
+    assert sorted((r[0], r[1], list(r[2]), list(r[3])) for r in i.counts.collect()) == [(1, 3, ["a", "b"], [2, 1]), (2, 0, [], [])]
