@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import MARKED, PLAIN, TERM, fold
+from evidentia.functions import tokens
+from evidentia.functions.text import MARKED, PLAIN, spaced_terms
 
 SMALL_NORM = 1e-12
 DIMENSIONS = 64
@@ -86,12 +87,31 @@ class HashedWords:
         return checked(out, len(texts))
 
     def rows(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        t = df.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(fold(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0))).alias("t"))
-        place = F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long") % DIMENSIONS
-        counts = t.groupBy("id", place.cast("int").alias("place")).agg(F.count(F.lit(1)).alias("n"))
-        arrays = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
-        return arrays.select("id", dense.alias("v")).select("id", normalize(F.col("v")).alias("embedding"))
+        """The same as a plan, from terms as Spark finds them; texts without terms have no row, those of one id count
+        together. Only 64 counts a text are shuffled, to bring equal ids together."""
+        some = df.select(F.col(id_col).alias("id"), spaced_terms(text_col).alias("words"))
+        kind = some.schema["id"].dataType.simpleString()
+        size = DIMENSIONS
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in tokens.pieces(batches, 1):
+                distinct, text, code = tokens.split(b.column(1))
+                places = np.array([int.from_bytes(hashlib.md5(t.as_buffer()).digest()[:4]) % size for t in distinct], np.int64)
+                n = np.bincount(text * size + places[code], minlength=b.num_rows * size).astype("<i4").reshape(-1, size)
+                there = np.flatnonzero(n.any(1))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(there)), pa.array([x.tobytes() for x in n[there]], pa.binary())], ["id", "n"])
+
+        def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    n = np.frombuffer(b"".join(b.column(1).flatten().to_pylist()), "<i4").astype(float).reshape(-1, size)
+                    n = np.add.reduceat(n, b.column(1).offsets.to_numpy()[:-1] - b.column(1).offsets[0].as_py())
+                    v = n / np.sqrt((n * n).sum(1, keepdims=True))
+                    ends = pa.array(np.arange(0, v.size + 1, size, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(v.reshape(-1)))], ["id", "embedding"])
+
+        counted = some.mapInArrow(count, f"id {kind}, n binary").groupBy("id").agg(F.collect_list("n").alias("n"))
+        return counted.mapInArrow(unit, f"id {kind}, embedding array<double>")
 
 
 def _packed(df: DataFrame, id_col: str, vector_col: str, most: int, ids: str, matrix: str) -> DataFrame:
@@ -102,7 +122,9 @@ def _packed(df: DataFrame, id_col: str, vector_col: str, most: int, ids: str, ma
         for b in batches:
             for at in range(0, b.num_rows, most):
                 part = b.slice(at, most)
-                x = np.array(part.column(1).to_pylist(), dtype=float)
+                v = part.column(1)
+                same = v.flatten().null_count == 0 and len(set(pc.list_value_length(v).unique().to_pylist())) == 1
+                x = v.flatten().to_numpy() if same else np.array(v.to_pylist(), dtype=float)  # other lengths fail there
                 ends = pa.array([0, part.num_rows], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, part.column(0)), pa.array([x.tobytes()], pa.binary())], [ids, matrix])
 

@@ -269,3 +269,40 @@ def test_index_is_built_without_dealing_out_postings(spark):
     assert "Exchange" not in i.postings._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in i.postings.collect()) == [("a", 1, 2, 3), ("b", 1, 1, 3)]
     assert sorted((r[0], r[1], list(r[2]), list(r[3])) for r in i.counts.collect()) == [(1, 3, ["a", "b"], [2, 1]), (2, 0, [], [])]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashed_words_shuffle_counts_once(spark, monkeypatch):
+    """Texts of one id count together, those without terms have no row, pieces don't matter."""
+    monkeypatch.setattr(dense.tokens, "PIECE", 8)
+    texts = [(1, "red fox"), (2, "?"), (1, "fox"), (3, None), (4, "ein Öl"), (5, "fox fox red")]
+    got = dense.HashedWords().rows(spark.createDataFrame(texts, "k bigint, t string").repartition(3), "k", "t")
+    assert plan(got).count("hashpartitioning") == 1
+    found = {r["id"]: r["embedding"] for r in got.collect()}
+    assert sorted(found) == [1, 4, 5] and found[1] == found[5]
+    assert [found[1], found[4]] == dense.HashedWords().encode(["fox red fox", "ein ol"]).tolist()
+
+
+def test_candidates_are_tables_and_texts_stay(spark):
+    """Searches' candidates are read from a table; only their texts are cut; texts are joined without a shuffle."""
+    d = "/root/testdata/sf0.001"
+    assert queries.fused(spark, d).inputFiles() == queries.fused(spark, d).inputFiles() and all("fused-" in f for f in queries.fused(spark, d).inputFiles())
+    assert all("hits-" in f for f in queries.hits(spark, d).inputFiles())
+    for name in ("sentence_candidates", "sentence_candidates_fused", "sentence_rerank"):
+        assert "LeftSemi" in plan(queries.QUERIES[name](spark, d))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")  # less than the documents
+    try:
+        assert "SortMergeJoin" not in plan(queries.reranked(spark, d))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_verbatim_reads_no_text_twice_for_a_match(spark):
+    c = spark.createDataFrame([(1, "a b c d e"), (2, "b c")], "claim_id bigint, claim string")
+    docs = spark.createDataFrame([(1, "xa b c d e f"), (2, "b c d, b c d"), (3, None)], "doc_id bigint, text string")
+    got = queries.verbatim(c, docs)
+    assert "hashpartitioning" not in plan(got) and "SortMergeJoin" not in plan(got)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (2, 1), (2, 2)]
