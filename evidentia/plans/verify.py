@@ -40,8 +40,10 @@ def passage_records(passages: DataFrame, pages: DataFrame, documents: DataFrame)
 
 
 def candidates_with_text(fused: DataFrame, claims: DataFrame, passages: DataFrame) -> DataFrame:
-    """Claims' and passages' texts, joined once after the candidates are few."""
-    return fused.join(claims.select("claim_id", "claim"), "claim_id").join(passages.select("passage_id", "text"), "passage_id")
+    """Claims' and passages' texts, joined once after the candidates are few. Texts meet the candidates first: these are
+    known to be small, as joined with claims they aren't, so that Spark can leave the texts where they are."""
+    met = passages.select("passage_id", "text").join(fused, "passage_id").join(claims.select("claim_id", "claim"), "claim_id")
+    return met.select("passage_id", *[c for c in fused.columns if c != "passage_id"], "claim", "text")
 
 
 def verdicts(fused: DataFrame, claims: DataFrame, passages: DataFrame, passage_sentences: DataFrame, rerank_k: int = 30, verify_k: int = 10, reranker=None, verifier=None) -> DataFrame:
