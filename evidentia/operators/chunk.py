@@ -52,9 +52,20 @@ def passages(sentences: DataFrame, max_words: int = MAX_WORDS, overlap: int = OV
     of its first and last sentence on the page, and its normalised text where the sentences have one."""
     normal = "normalized_text" if "normalized_text" in sentences.columns else "source_text"
     one = F.struct(F.col("block_sentence_index").alias("i"), F.col("display_id").alias("id"), trim("source_text").alias("t"), trim(normal).alias("m"), F.col("source_word_count").alias("n"), F.col("page_sentence_index").alias("at"))
-    grouped = sentences.groupBy("document_id", "page_index", "logical_block_index").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    return _passages(sentences.groupBy("document_id", "page_index", "logical_block_index").agg(F.array_sort(F.collect_list(one)).alias("s")), max_words, overlap)
+
+
+def of_blocks(blocks: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
+    """The same of rows of segment.page_blocks(), where a block's sentences lie together; nothing is shuffled. parts has each
+    passage's sentences: id, t."""
+    one = lambda x: F.struct(x["block_sentence_index"].alias("i"), x["display_id"].alias("id"), x["source_text"].alias("t"), x["source_text"].alias("m"), word_count(x["source_text"]).alias("n"), x["page_sentence_index"].alias("at"))
+    return _passages(blocks.select("document_id", "page_index", "logical_block_index", F.transform("s", one).alias("s")), max_words, overlap, True)
+
+
+def _passages(grouped: DataFrame, max_words: int, overlap: int, parts: bool = False) -> DataFrame:
     counted = grouped.withColumn("counts", F.transform("s", lambda x: x["n"]))
-    cut = with_spans(counted, "counts", max_words, overlap).select("document_id", "page_index", "logical_block_index", "s", F.posexplode("spans").alias("pos", "span"))
+    # outer, as else Spark filters by the spans' number first, and makes the spans twice for that
+    cut = with_spans(counted, "counts", max_words, overlap).select("document_id", "page_index", "logical_block_index", "s", F.posexplode_outer("spans").alias("pos", "span")).filter("span IS NOT NULL")
     part = F.slice("s", F.col("span.a") + 1, F.col("span.b") - F.col("span.a"))
     text = lambda c: F.array_join(F.transform("part", lambda x: x[c]), " ")
     out = cut.select("document_id", "page_index", "logical_block_index", F.col("pos").cast("long").alias("block_passage_index"), part.alias("part"))
@@ -63,6 +74,7 @@ def passages(sentences: DataFrame, max_words: int = MAX_WORDS, overlap: int = OV
         F.format_string("%s:p%04d:lb%04d:c%03d", F.col("document_id").cast("string"), F.col("page_index") + 1, F.col("logical_block_index"), F.col("block_passage_index")).alias("display_id"),
         "document_id", "page_index", "logical_block_index", "block_passage_index", "sentence_ids", "source_text", "normalized_text", "first_sentence", "last_sentence",
         word_count("source_text").alias("word_count"), F.size("sentence_ids").cast("long").alias("sentence_count"), (word_count("source_text") >= LEAST_WORDS).alias("retrieval_eligible"),
+        *([F.transform("part", lambda x: F.struct(x["id"].alias("id"), x["t"].alias("t"))).alias("parts")] if parts else []),
     )
 
 

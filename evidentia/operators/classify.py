@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ HEADINGS = (
     ("funding", "funding"),
     ("funding", r"funding\s+information"),
 )
+#: Each heading has one of these in it.
+STEMS = ("reference", "bibliography", "cited", "acknowl", "author", "interest", "availability", "funding")
 SYMBOLS, DASHES = "■▪◆●□▸►", "\\-–—:"
 #: A heading counts at the passage's start (after symbols, dashes and a section number), after a structural
 #: symbol, or as the last words of the passage after a sentence's end.
@@ -56,9 +61,13 @@ def terminal_heading(text: Column | str) -> Column:
                 p = pattern % heading
                 found = F.struct(F.lit(section).alias("section"), F.lit(placement).alias("placement"), F.regexp_extract(x, p, 2).alias("heading"), F.length(F.regexp_extract(x, p, 1)).cast("long").alias("position"))
                 tries.append(F.when(x.rlike(p), found))
-        return F.when(F.lower(x).rlike(words), F.coalesce(*tries))  # most passages hold no heading word at all
+        return F.coalesce(*tries)
 
-    return F.get(F.transform(F.array(t), hit), F.lit(0))  # within a lambda the many tries are not compiled into one method
+    # most passages hold no stem of a heading at all, which is told faster than by the pattern; within lambdas the many
+    # tries are not compiled into one method
+    both = F.transform(F.array(t), lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
+    some = lambda y: reduce(or_, [F.contains(y["low"], F.lit(s)) for s in STEMS])
+    return F.get(F.transform(both, lambda y: F.when(some(y), F.when(y["low"].rlike(words), hit(y["x"])))), F.lit(0))
 
 
 #: A year from 1800 to 2099, a DOI, "et al.", and a line that begins with a number in brackets or with a point.
@@ -83,9 +92,26 @@ def _in_last_part(page_index: Column, page_count: Column) -> Column:
 def heading_cutoffs(passages: DataFrame) -> DataFrame:
     """passages: document_id, page_index, page_count, idx (place in the document), source_text. One row per document with a hit."""
     seen = passages.filter(_in_last_part(F.col("page_index"), F.col("page_count"))).withColumn("hit", terminal_heading("source_text")).filter("hit IS NOT NULL")
-    part = F.col("hit.position") / F.greatest(F.lit(1), F.length("source_text"))
-    first = seen.groupBy("document_id").agg(F.min_by(F.struct("idx", "hit", part.alias("part")), "idx").alias("m"))
-    return first.select("document_id", F.col("m.hit.section").alias("section"), F.col("m.hit.placement").alias("placement"), F.round("m.part", 6).alias("relative_position"), F.when(F.col("m.part") <= EARLY, F.col("m.idx")).otherwise(F.col("m.idx") + 1).cast("long").alias("cutoff"))
+    first = seen.groupBy("document_id").agg(F.min_by(F.struct("idx", "hit", _part().alias("part")), "idx").alias("m"))
+    return first.select("document_id", F.col("m.hit.section").alias("section"), F.col("m.hit.placement").alias("placement"), F.round("m.part", 6).alias("relative_position"), _cutoff("m").alias("cutoff"))
+
+
+def _part() -> Column:
+    return F.col("hit.position") / F.greatest(F.lit(1), F.length("source_text"))
+
+
+def _cutoff(first: str) -> Column:
+    return F.when(F.col(f"{first}.part") <= EARLY, F.col(f"{first}.idx")).otherwise(F.col(f"{first}.idx") + 1).cast("long")
+
+
+def classify_by_headings(passages: DataFrame) -> DataFrame:
+    """classify(passages, heading_cutoffs(passages)) for passages that are costly to make: they are made once, and what is
+    shuffled is their places and hits, without texts that nobody asks for afterwards."""
+    hit = F.when(_in_last_part(F.col("page_index"), F.col("page_count")), terminal_heading("source_text"))
+    d = passages.withColumn("hit", hit)
+    d = d.withColumn("at", F.when(F.col("hit").isNotNull(), F.struct("idx", _part().alias("part")))).drop("hit")
+    d = d.withColumn("m", F.min("at").over(Window.partitionBy("document_id")))
+    return _marked(d, F.col("idx") >= _cutoff("m")).drop("at", "m")
 
 
 def rule_candidates(drawings: DataFrame, pages: DataFrame) -> DataFrame:
@@ -121,8 +147,12 @@ def classify(passages: DataFrame, headings: DataFrame, rules: DataFrame | None =
         d = d.join(rules, "document_id", "left")
         under = (F.col("page_index") > F.col("rule_page")) | (F.col("page_index") == F.col("rule_page")) & (F.col("top_y") > F.col("rule_y"))
         end = F.when(F.col("cutoff").isNotNull(), end).otherwise(under)
+    return _marked(d, end).drop("cutoff", "rule_page", "rule_y")
+
+
+def _marked(d: DataFrame, end: Column) -> DataFrame:
     d = d.withColumn("content_type", F.when(F.coalesce(end, F.lit(False)), "end_matter").otherwise("body"))
-    return d.withColumn("retrieval_eligible", F.col("retrieval_eligible") & (F.col("content_type") == "body")).drop("cutoff", "rule_page", "rule_y")
+    return d.withColumn("retrieval_eligible", F.col("retrieval_eligible") & (F.col("content_type") == "body"))
 
 
 def numbered(passages: DataFrame) -> DataFrame:

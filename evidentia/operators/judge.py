@@ -107,13 +107,16 @@ def rerank_model(candidates: DataFrame, make_reranker, k: int = 30, by: str = "r
 def numbered_sentences(passage_sentences: DataFrame) -> DataFrame:
     """passage_sentences: passage_id, position, sentence_id, text. Gives numbered text and the tags' sentence ids."""
     g = passage_sentences.groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("position", "sentence_id", "text"))).alias("s"))
-    tag = lambda i: F.concat(F.lit("S"), (i + 1).cast("string"))
-    return g.select(
-        "passage_id",
-        F.array_join(F.transform("s", lambda x, i: F.concat(F.lit("["), tag(i), F.lit("] "), x["text"])), "\n").alias("numbered"),
-        F.map_from_entries(F.transform("s", lambda x, i: F.struct(tag(i), x["sentence_id"]))).alias("tags"),
-        F.transform("s", lambda x: x["sentence_id"]).alias("sentence_ids"),
-    )
+    return g.select("passage_id", numbered_text(F.transform("s", lambda x: x["text"])).alias("numbered"), F.map_from_entries(F.transform("s", lambda x, i: F.struct(_tag(i), x["sentence_id"]))).alias("tags"), F.transform("s", lambda x: x["sentence_id"]).alias("sentence_ids"))
+
+
+def _tag(i: Column) -> Column:
+    return F.concat(F.lit("S"), (i + 1).cast("string"))
+
+
+def numbered_text(texts: Column) -> Column:
+    """A passage's sentences, given in order, each on a line after its tag."""
+    return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("["), _tag(i), F.lit("] "), t)), "\n")
 
 
 def parse_verdict(raw: Column | str) -> Column:

@@ -35,10 +35,10 @@ def sentence_summary(sentences: DataFrame, pages: DataFrame | None = None, least
 
 def passage_summary(passages: DataFrame, max_words: int) -> DataFrame:
     """One row over all passages: counts, blocks that were split, mean words (0 without passages)."""
-    per = passages.groupBy("document_id", "page_index", "logical_block_index").agg(F.count(F.lit(1)).alias("p"))
-    blocks = per.agg(F.count(F.lit(1)).alias("blocks"), _n(F.col("p") > 1).alias("split_blocks"))
-    all_ = passages.agg(F.count(F.lit(1)).alias("passages"), _n(F.col("retrieval_eligible")).alias("eligible"), _n(~F.col("retrieval_eligible")).alias("short"), _n(F.col("word_count") > max_words).alias("over_long"), F.round(F.coalesce(F.avg("word_count"), F.lit(0.0)), 6).alias("mean_words"))
-    return all_.crossJoin(blocks)  # one row each
+    per = passages.groupBy("document_id", "page_index", "logical_block_index").agg(F.count(F.lit(1)).alias("p"), _n(F.col("retrieval_eligible")).alias("e"), _n(~F.col("retrieval_eligible")).alias("s"), _n(F.col("word_count") > max_words).alias("o"), F.sum("word_count").alias("w"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    mean = F.round(F.coalesce(F.sum("w") / F.sum("p"), F.lit(0.0)), 6)
+    return per.agg(total("p").alias("passages"), total("e").alias("eligible"), total("s").alias("short"), total("o").alias("over_long"), mean.alias("mean_words"), F.count(F.lit(1)).alias("blocks"), _n(F.col("p") > 1).alias("split_blocks"))
 
 
 def content_types(passages: DataFrame) -> DataFrame:

@@ -49,6 +49,14 @@ def page_context(sentences: DataFrame, wanted: DataFrame, n: int = 2) -> DataFra
     return near.select("target", "display_id", "page_sentence_index", "source_text", (F.col("display_id") == F.col("target")).alias("is_target"))
 
 
+def near(items: Column | str, i: Column, n: int) -> Column:
+    """The elements of an array within n places of place i (from 0), clipped at both ends."""
+    if n < 0:
+        raise ValueError("a context must not be negative")
+    first = F.greatest(i - n, F.lit(0))
+    return F.slice(items, first + 1, i + n + 1 - first)
+
+
 def details(sentences: DataFrame, boxes: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
     """Sentences with their page, their document and their boxes in order."""
     b = boxes.groupBy("display_id").agg(F.array_sort(F.collect_list(F.struct("box_index", "block_no", "line_no", "x0", "y0", "x1", "y1"))).alias("boxes"))
@@ -68,9 +76,14 @@ def render_plan(requested: DataFrame, sentences: DataFrame, documents: DataFrame
     rows = in_request_order(requested, sentences, "display_id").join(documents.select("document_id", "stored_path"), "document_id")
     g = rows.groupBy("stored_path", "page_index").agg(F.min("request_pos").alias("first"), F.array_sort(F.collect_list(F.struct("request_pos", "display_id"))).alias("s"))
     ids = F.transform("s", lambda x: x["display_id"])
-    stem = F.regexp_replace(F.element_at(F.split("stored_path", "/"), -1), r"\.[^.]*$", "")
+    return g.select("first", "stored_path", "page_index", ids.alias("sentence_ids"), image_name("stored_path", F.col("page_index"), ids).alias("output"))
+
+
+def image_name(stored_path: Column | str, page_index: Column, ids: Column) -> Column:
+    """The file of a page's image, by the document's file, the page and the sentences that are marked."""
+    stem = F.regexp_replace(F.element_at(F.split(stored_path, "/"), -1), r"\.[^.]*$", "")
     digest = F.substring(F.sha2(F.array_join(ids, "\x00"), 256), 1, 12)
-    return g.select("first", "stored_path", "page_index", ids.alias("sentence_ids"), F.format_string("%s_page_%04d_%s.png", stem, F.col("page_index") + 1, digest).alias("output"))
+    return F.format_string("%s_page_%04d_%s.png", stem, page_index + 1, digest)
 
 
 def sentence_candidates(passages: DataFrame, passage_sentences: DataFrame, k: int = 30) -> DataFrame:

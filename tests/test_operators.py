@@ -306,3 +306,46 @@ def test_verbatim_reads_no_text_twice_for_a_match(spark):
     got = queries.verbatim(c, docs)
     assert "hashpartitioning" not in plan(got) and "SortMergeJoin" not in plan(got)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (2, 1), (2, 2)]
+
+
+ODD = ["", "  \t", "One. Two e.g. three.\n\n \nFour et al. [1] Five! 'Six?' A. Seven.[2] Eight\x1f nine", "x" * 12 + ". " + "Ein Satz. " * 1200, "\n".join(f"No. {k} is here. Dr. X. came." for k in range(30)), None, "\x1f", "fig. \n approx. \r Sects. end.\x0b\f  Last"]
+
+
+def test_sentences_within_rows_equal_those_of_blocks(spark):
+    """Whatever the texts, numbering within a document's row gives what windows over its blocks give, without a shuffle."""
+    from evidentia.operators import chunk, segment
+
+    docs = spark.createDataFrame(list(enumerate(ODD)), "doc_id bigint, text string").repartition(2)
+    got, want = segment.document_sentences(docs), segment.sentences(segment.blocks(docs))
+    assert got.schema.simpleString() == want.schema.simpleString() and "hashpartitioning" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 1200
+    a, b = chunk.of_blocks(segment.page_blocks(segment.pages(docs)), 20), chunk.passages(want, 20)
+    assert "hashpartitioning" not in plan(a)
+    assert sorted(map(str, a.drop("parts").collect())) == sorted(map(str, b.collect()))
+
+
+def test_texts_are_cut_once(spark):
+    d = "/root/testdata/sf0.001"
+    for name in ("page_context", "passage_context", "numbered_sentences", "render_plan", "classification_report", "passage_summary"):
+        p = plan(queries.QUERIES[name](spark, d))
+        assert p.count("[.!?…]") <= 1 and p.count("SortMergeJoin") == 0, name
+        assert name in ("classification_report", "passage_summary") or "hashpartitioning" not in p, name
+
+
+def test_ends_tell_abbreviations_in_long_texts(spark):
+    from evidentia.operators import segment
+
+    texts = [("word " * 500 + end, want) for end, want in (("et al.", True), ("approx. \t", True), ("A.", True), ("aA.", False), ("Fig.", True), ("end.", False))] + [("A.", True), ("aA.", False), ("", False)]
+    df = spark.createDataFrame(texts, "t string, want boolean")
+    assert df.filter(segment.looks_like_abbreviation("t") != df["want"]).count() == 0
+
+
+def test_one_pass_over_headings_equals_two(spark):
+    from evidentia.operators import classify
+
+    rows = [(d, p, 5, p, t, True) for d, texts in enumerate([["Body.", "x", "Text. More", "References", "y"], ["a", "b", "c", "Long text goes here. Then. Funding", "z"], ["References", "b", "c", "d", "e"], ["a", "b", "ACKNOWLEDGMENTS: thanks", "Data availability", "t"]]) for p, t in enumerate(texts)]
+    p = spark.createDataFrame(rows, "document_id int, page_index bigint, page_count bigint, idx bigint, source_text string, retrieval_eligible boolean")
+    want = classify.classify(p, classify.heading_cutoffs(p))
+    got = classify.classify_by_headings(p)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect())) and want.filter("content_type = 'end_matter'").count() == 6
